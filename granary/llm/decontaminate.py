@@ -146,7 +146,7 @@ def _judge(c: dict, windows: Windows) -> Iterator[tuple]:
 def _collect(c: dict, windows: Windows) -> Iterator[tuple]:
     for doc, text, spans, items in zip(c["doc_id"], c["text"], c["spans"], c["items"]):
         hit, found = windows.hits(words_of(text))
-        runs = [x for m in re.finditer(rb"\1+", bytes(hit)) for x in m.span()]
+        runs = [x for m in re.finditer(rb"\x01+", bytes(hit)) for x in m.span()]
         yield doc, text, [*(spans or ()), *runs], sorted({windows.items[k] for k in found}.union(items or ()))
 
 
