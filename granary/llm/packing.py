@@ -15,7 +15,7 @@ from .tokens import encoder
 
 #: Pieces that one shard holds; bounds an island's memory. The number of shards grows with the input.
 ISLAND = 65_536
-POPULATION, GENERATIONS, ISLANDS, ROUNDS = 5, 6, 3, 2
+POPULATION, GENERATIONS, ISLANDS, ROUNDS = 5, 12, 3, 2
 #: Bins filled below this share are packed again with those of other shards.
 ROOMY = 0.97
 
@@ -40,18 +40,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
 
 class Bins:
-    """Bins of one capacity, found by their free space: an integer's bits tell which free spaces occur."""
+    """Bins of one capacity, found by their free space: an integer's bits tell which free spaces occur.
+
+    items: the documents of each bin; used: how full it is. Lists taken from another packing are copied when they change.
+    """
 
     def __init__(self, capacity: int):
-        self.capacity, self.free, self.mask, self.items = capacity, [[] for _ in range(capacity + 1)], 0, []
+        self.capacity, self.free, self.mask = capacity, [[] for _ in range(capacity + 1)], 0
+        self.items: list[list[int]] = []
+        self.used: list[int] = []
 
     def add(self, items: list[int], used: int) -> None:
-        self._file(len(self.items), self.capacity - used)
-        self.items.append(items)
-
-    def _file(self, number: int, free: int) -> None:
-        self.free[free].append(number)
+        free = self.capacity - used
+        self.free[free].append(len(self.items))
         self.mask |= 1 << free
+        self.items.append(items)
+        self.used.append(used)
 
     def best_fit(self, item: int, length: int) -> None:
         """Into the bin with the least free space that suffices, or a new one."""
@@ -59,73 +63,79 @@ class Bins:
         if not fits:
             return self.add([item], length)
         free = length + (fits & -fits).bit_length() - 1
-        number = self.free[free].pop()
-        if not self.free[free]:
+        at = self.free[free]
+        number = at.pop()
+        if not at:
             self.mask &= ~(1 << free)
-        self.items[number].append(item)
-        self._file(number, free - length)
+        free -= length
+        self.items[number] = [*self.items[number], item]
+        self.used[number] += length
+        self.free[free].append(number)
+        self.mask |= 1 << free
 
 
-def decreasing(items: list[int], length: list[int], capacity: int, bins: Bins | None = None) -> list[list[int]]:
+def decreasing(items, length: list[int], capacity: int, bins: Bins | None = None) -> Bins:
     bins = bins or Bins(capacity)
     for i in sorted(items, key=lambda i: -length[i]):
         bins.best_fit(i, length[i])
-    return bins.items
+    return bins
 
 
-def fitness(packing: list[list[int]], used: list[int], capacity: int) -> tuple[int, float]:
+def fitness(packing: Bins) -> tuple[int, float]:
     """Fewer bins first; then bins filled as unevenly as possible, which leaves room to empty one."""
-    return -len(packing), sum((u / capacity) ** 2 for u in used)
+    return -len(packing.items), sum(u * u for u in packing.used) / packing.capacity**2
 
 
-def cross(one: list[list[int]], other: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def cross(one: Bins, other: Bins, length: list[int], rng: random.Random) -> Bins:
     """Whole well-filled bins of `other` are injected into `one`; bins of `one` that hold a duplicate give way, and the
     documents they displace go by best fit."""
-    filled = sorted(other, key=lambda b: -sum(length[i] for i in b))
+    filled = sorted(range(len(other.items)), key=lambda k: -other.used[k])
     at = rng.randrange(max(1, len(filled) // 2))
-    injected = filled[at : at + max(1, len(filled) // 3)]
-    taken = {i for b in injected for i in b}
-    bins, displaced = Bins(capacity), []
-    for b in injected:
-        bins.add(list(b), sum(length[i] for i in b))
-    for b in one:
+    injected = filled[at : at + max(1, len(filled) // 20)]
+    taken = {i for k in injected for i in other.items[k]}
+    bins, displaced = Bins(one.capacity), []
+    for k in injected:
+        bins.add(other.items[k], other.used[k])
+    for b, u in zip(one.items, one.used):
         if taken.isdisjoint(b):
-            bins.add(list(b), sum(length[i] for i in b))
+            bins.add(b, u)
         else:
             displaced += [i for i in b if i not in taken]
-    return decreasing(displaced, length, capacity, bins)
+    return decreasing(displaced, length, one.capacity, bins)
 
 
-def mutate(packing: list[list[int]], length: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(packing: Bins, length: list[int], rng: random.Random) -> Bins:
     """The emptiest bins and some at random are undone, and their documents go by best fit in another order."""
-    order = sorted(range(len(packing)), key=lambda k: sum(length[i] for i in packing[k]))
-    undone = {*order[: max(1, len(order) // 50)], *rng.sample(order, max(1, len(order) // 50))}
-    bins = Bins(capacity)
-    for k, b in enumerate(packing):
-        if k not in undone:
-            bins.add(list(b), sum(length[i] for i in b))
-    loose = [i for k in sorted(undone) for i in packing[k]]
-    rng.shuffle(loose)
-    for i in sorted(loose, key=lambda i: -length[i] * rng.uniform(0.8, 1.2)):
+    few = max(1, len(packing.items) // 100)
+    undone = {*sorted(range(len(packing.items)), key=packing.used.__getitem__)[:few], *rng.sample(range(len(packing.items)), few)}
+    bins, loose = Bins(packing.capacity), []
+    for k, (b, u) in enumerate(zip(packing.items, packing.used)):
+        if k in undone:
+            loose += b
+        else:
+            bins.add(b, u)
+    for _, i in sorted((-length[i] * rng.uniform(0.8, 1.2), i) for i in loose):
         bins.best_fit(i, length[i])
-    return bins.items
-
-
-def evolve(length: list[int], capacity: int, seed: int, first: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing that one island finds; `first` are immigrants. Ends at the lower bound, which no packing beats."""
-    if not length:
-        return []
-    rng, bound = random.Random(seed), -(-sum(length) // capacity)
-    people = [list(map(list, p)) for p in first] or [decreasing(range(len(length)), length, capacity)]
-    while len(people) < population and len(people[0]) > bound:
-        people.append(mutate(people[0], length, capacity, rng))
-    score = lambda p: fitness(p, [sum(length[i] for i in b) for b in p], capacity)
-    ranked = sorted(people, key=score, reverse=True)
+    return bins
+
+
+def evolve(length: list[int], capacity: int, seed: int, first: list[list[list[int]]] = (), population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
+    """The best packing that one island finds; `first` are the bins of parents. Ends at the lower bound, which no packing beats."""
+    rng, bound, people = random.Random(seed), -(-sum(length) // capacity), []
+    for parent in first:
+        people.append(Bins(capacity))
+        for b in parent:
+            people[-1].add(b, sum(length[i] for i in b))
+    people = people or [decreasing(range(len(length)), length, capacity)]
+    if generations:
+        while len(people) < population and len(people[0].items) > bound:
+            people.append(mutate(people[0], length, rng))
+    ranked = sorted(people, key=fitness, reverse=True)
     for _ in range(generations):
-        if len(ranked[0]) <= bound:
+        if len(ranked[0].items) <= bound:
             break
-        child = cross(ranked[0], ranked[rng.randrange(1, len(ranked))], length, capacity, rng)
-        ranked = sorted([*ranked, child, mutate(child, length, capacity, rng)], key=score, reverse=True)[:population]
+        child = cross(ranked[0], ranked[rng.randrange(1, len(ranked))], length, rng)
+        ranked = sorted([*ranked, child, mutate(child, length, rng)], key=fitness, reverse=True)[:population]
     return ranked[0]
 
 
@@ -155,15 +165,13 @@ def _evolved(state: DataFrame, keys: list[str], capacity: int, seed: int, genera
         length = t["length"].to_pylist()
         best = evolve(length, capacity, seed + 1009 * t["shard"][0].as_py() + t["island"][0].as_py(), first, generations=generations)
         number, place, used = [0] * n, [0] * n, [0] * n
-        for k, b in enumerate(best):
+        for k, (b, u) in enumerate(zip(best.items, best.used)):
             at = 0
             for i in sorted(b):
-                number[i], place[i] = k, at
+                number[i], place[i], used[i] = k, at, u
                 at += length[i]
-            for i in b:
-                used[i] = at
-        fit = fitness(best, [sum(length[i] for i in b) for b in best], capacity)[1]
-        made = {"bin": number, "offset": place, "used": used, "bins": [len(best)] * n, "fit": [fit] * n, "guest": [0] * n}
+        fit = fitness(best)[1]
+        made = {"bin": number, "offset": place, "used": used, "bins": [len(best.items)] * n, "fit": [fit] * n, "guest": [0] * n}
         return pa.Table.from_arrays([pa.array(made[f.name], f.type) if f.name in made else t[f.name].combine_chunks().cast(f.type) for f in out], schema=out)
 
     return state.groupBy(*keys).applyInArrow(run, STATE)

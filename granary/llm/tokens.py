@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from itertools import chain
 
 #: Pieces remembered by a worker. A full memory is emptied; results don't depend on it.
-CACHE = 400_000
+CACHE = 600_000
 
 #: Spaces of the Unicode property White_Space. str.split() also takes U+001C to U+001F, which no tokenizer treats as space.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -28,6 +29,8 @@ _LATIN = re.compile("[\\x00-\\x7f\\xa1-\u012f\u0131-\u024f]+")
 _PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 
+_MARKS = frozenset(".,!?;:")
+
 _made: dict[str, "Encoder"] = {}
 
 
@@ -74,27 +77,37 @@ class Encoder:
         """Pieces are cut once more into what the tokenizer merges within; only parts never met go to the library's model."""
         known, parts, find, odd = self.pieces, self.parts, self.inner.findall, []
         for x in pieces:
-            if not self.words:
-                found = find(x)
-            elif x.isascii() or _LATIN.fullmatch(x):
-                found = find(x.lower())
+            plain = x.isascii() or _LATIN.fullmatch(x)
+            if self.words:
+                if not plain:
+                    odd.append(x)  # the library normalises these itself
+                    continue
+                x_, bare = x.lower(), x
+            else:
+                x_, bare = x, x[1:] if x[:1] == " " else x
+            # Most pieces are letters, or letters and a mark; the pattern would cut them just so.
+            if plain and bare.isalpha():
+                found = [x_]
+            elif plain and x[-1:] in _MARKS and bare[:-1].isalpha():
+                found = [x_[:-1], x_[-1]]
             else:
-                odd.append(x)  # the library normalises these itself
-                continue
+                found = find(x_)
             for p in found:
                 if p not in parts:
                     parts[p] = self._part(p)
             known[x] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
         for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            known[x] = _pack(len(e.ids), e.ids)
+            known[x] = _pack(e.ids)
 
     def _part(self, part: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize((part if part.isascii() else part.encode().decode("latin-1")).translate(_BYTES))]
-        return _pack(len(ids), ids)
+        return _pack([t.id for t in self.model.tokenize((part if part.isascii() else part.encode().decode("latin-1")).translate(_BYTES))])
 
 
-def _pack(n: int, ids: list[int]) -> bytes:
-    return struct.pack(f"<{n}I", *ids)
+def _pack(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def encoder(path: str) -> Encoder:
