@@ -1,0 +1 @@
+"""Spark-native preparation and tuning for machine-learning tables."""
