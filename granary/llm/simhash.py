@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, shared_dir, text_of, written
 from .components import components
+from .tokens import forget
 
-#: Fingerprints that a tile holds at most.
-TILE = 16_384
+#: Fingerprints that a tile holds: eight times the root of their number, so that there are tasks enough, within these bounds.
+TILE = (1024, 16_384)
 #: Sides of the blocks within which one tile pair is compared at a time.
 BLOCK = 1024
 
@@ -72,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     out = arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -84,55 +86,63 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 
 
-def tile_links(one: np.ndarray, other: np.ndarray | None, radius: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows (n x lanes, sorted by the bit count of all lanes) that differ in `radius` bits or fewer.
-
-    other: None compares the tile with itself. Block pairs whose bit counts lie further apart than the radius are
-    skipped. Of several lanes the first is compared first, at radius `first`; only its hits see the others.
-    """
-    same = other is None
-    other = one if same else other
-    count = [np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (one, other)]
-    lead = [np.ascontiguousarray(x[:, 0]) for x in (one, other)]
-    for a in range(0, len(one), BLOCK):
-        low, high = count[0][a], count[0][min(a + BLOCK, len(one)) - 1]
-        start = np.searchsorted(count[1], low - radius)
-        stop = np.searchsorted(count[1], high + radius, "right")
-        for b in range(max(start, a if same else 0), stop, BLOCK):
-            end = min(b + BLOCK, stop)
-            near = np.bitwise_count(lead[0][a : a + BLOCK, None] ^ lead[1][None, b:end]) <= first
-            i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            if same:
-                keep = i < j
-                i, j = i[keep], j[keep]
-            if one.shape[1] > 1 and len(i):
-                keep = np.bitwise_count(one[i] ^ other[j]).sum(axis=1, dtype=np.int64) <= radius
-                i, j = i[keep], j[keep]
-            if len(i):
-                yield i, j
-
-
 class Forest:
-    """Union-find over the rows of a task: of all links within it, a spanning forest goes on."""
+    """Union-find over the rows of a task: of all links within it, a spanning forest goes on. root[k] is a smaller or equal
+    row of k's tree, the same for all rows of a tree once settle() has run."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.root = np.arange(n)
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
+    def settle(self) -> np.ndarray:
+        while True:
+            up = self.root[self.root]
+            if (up == self.root).all():
+                return up
+            self.root = up
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist()):
-            x, y = self.root(x), self.root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
-
-    def stars(self) -> list[tuple[int, int]]:
-        return [(r, x) for x in range(len(self.up)) if (r := self.root(x)) != x]
+        """Joins the trees of i[k] and j[k], a link for each root at a time, until no link leads out of its tree."""
+        while len(i):
+            root = self.settle()
+            low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            apart = low != high
+            i, j, low, high = i[apart], j[apart], low[apart], high[apart]
+            np.minimum.at(self.root, high, low)
+        self.settle()
+
+
+def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, first: int, forest: Forest) -> None:
+    """Joins in the forest all rows of `left` and `right` (right None: of left alone) that differ in `radius` bits or fewer.
+
+    Rows (n x lanes) come sorted by the bit count of all lanes. Block pairs whose bit counts lie further apart than the
+    radius are skipped, and so are blocks whose rows are all of one tree. Of several lanes the first is compared first, at
+    radius `first`; only its hits see the others.
+    """
+    same = right is None
+    right = left if same else right
+    count = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    lead = np.ascontiguousarray(words[:, 0])
+    for a in range(0, len(left), BLOCK):
+        rows = left[a : a + BLOCK]
+        start = np.searchsorted(count[right], count[rows[0]] - radius)
+        stop = np.searchsorted(count[right], count[rows[-1]] + radius, "right")
+        for b in range(max(start, a if same else 0), stop, BLOCK):
+            others = right[b : min(b + BLOCK, stop)]
+            one, two = forest.root[rows], forest.root[others]
+            if (one == one[0]).all() and (two == one[0]).all():
+                continue
+            near = np.bitwise_count(lead[rows][:, None] ^ lead[others][None, :]) <= first
+            near &= one[:, None] != two[None, :]
+            i, j = np.nonzero(near)
+            # Dense blocks in parts: the links of some rows join most of the rest, whose own then needn't be looked at.
+            for at in range(0, len(i), 1 << 16):
+                x, y = rows[i[at : at + (1 << 16)]], others[j[at : at + (1 << 16)]]
+                apart = forest.root[x] != forest.root[y]
+                x, y = x[apart], y[apart]
+                if words.shape[1] > 1 and len(x):
+                    keep = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= radius
+                    x, y = x[keep], y[keep]
+                forest.join(x, y)
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -186,20 +196,14 @@ def _links(tiles: DataFrame, radius: int, first: int) -> DataFrame:
             return
         order = np.lexsort((ids, np.bitwise_count(words).sum(axis=1, dtype=np.int64)))
         ids, side, words = ids[order], side[order], words[order]
-        forest = Forest(len(ids))
-        left = np.flatnonzero(side == 0)
-        if len(left) == len(ids):
-            for i, j in tile_links(words, None, radius, first):
-                forest.join(i, j)
-        else:
-            right = np.flatnonzero(side == 1)
-            for i, j in tile_links(words[left], words[right], radius, first):
-                forest.join(left[i], right[j])
-        for x, y in forest.stars():
-            yield int(ids[x]), int(ids[y])
+        forest, right = Forest(len(ids)), np.flatnonzero(side == 1)
+        tile_links(words, np.flatnonzero(side == 0), right if len(right) else None, radius, first, forest)
+        leaves = np.flatnonzero(forest.root != np.arange(len(ids)))
+        yield from zip(ids[forest.root[leaves]].tolist(), ids[leaves].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by pair; a pair may span batches."""
+        forget()
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table, whole: bool) -> tuple[list[tuple[int, int]], pa.Table | None]:
@@ -240,7 +244,7 @@ def radius_of(similarity: float, lanes: int) -> int:
     return int(bits * share + 1.65 * math.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, similarity: float | None = None, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, similarity: float | None = None, tile: int | None = None) -> DataFrame:
     """(doc_id, bits, n, component): bits is the fingerprint, component the smallest doc_id reachable through links.
 
     Rows are linked where their fingerprints differ in `radius` bits or fewer; equal fingerprints are compared once. Tiles
@@ -255,8 +259,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     marks = written(fingerprints(docs, words, lanes), "marks", folder)
     keys = ["bits"] if similarity is None else ["bits", "n"]
     nodes = written(marks.groupBy(*keys).agg(F.min("doc_id").alias("id")).filter("id is not null"), "nodes", folder)
+    number = nodes.count()
+    tile = tile or min(TILE[1], max(TILE[0], int(8 * math.sqrt(number))))
     if similarity is None:
-        cells, first = _cells_by_bits(nodes, blocks_for(nodes.count(), radius), radius), radius
+        cells, first = _cells_by_bits(nodes, blocks_for(number, radius), radius), radius
     else:
         cells = _cells_by_length(nodes, similarity)
         share = radius / (64 * lanes)

@@ -115,3 +115,10 @@ def encoder(path: str) -> Encoder:
     if path not in _made:
         _made[path] = Encoder(path)
     return _made[path]
+
+
+def forget() -> None:
+    """Drops what this worker's encoders remember: workers are reused, and another operator needs the room."""
+    for known in _made.values():
+        known.pieces.clear()
+        known.parts.clear()
