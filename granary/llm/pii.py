@@ -176,9 +176,9 @@ def additional(text: str, base: list[tuple[int, int, int]], field: Field, sure:
     return [(a, int(m.argmax()) - 1, b) for (a, b), y, m in zip(tokens, observed, marginal) if y is None and m.argmax() and m.max() >= sure]
 
 
-def fit(docs: DataFrame, sample: int = 2000, tokens: int = 40_000, steps: int = 300) -> Field:
-    """Trains the field on what the base patterns label in a sample: at most `sample` documents that hold base spans, by
-    hash of their text, and of them `tokens` tokens. Weights: logistic regression for single tokens, smoothed agreement of
+def fit(docs: DataFrame, sample: int = 2000, looked: int = 80_000, tokens: int = 40_000, steps: int = 300) -> Field:
+    """Trains the field on what the base patterns label in a sample: about `looked` documents are drawn by a hash of their
+    text, and of them, at most `sample` that hold base spans, and `tokens` of their tokens. Weights: logistic regression for single tokens, smoothed agreement of
     neighbours and of repeated tokens for the potentials. A corpus without personal data gives a field that adds nothing.
     """
 
@@ -191,7 +191,9 @@ def fit(docs: DataFrame, sample: int = 2000, tokens: int = 40_000, steps: int =
                 flat = [v for i, (a, b) in enumerate(found[:400]) for v in (labels[i], *features(text[a:b]))]
                 yield int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:7], "big"), flat, [9 * LABELS * k + LABELS * a + b for a, b, k in pairs[:400]]
 
-    found = arrow_map(docs.select(text_of().alias("text")), rows, "tie long, tokens array<double>, pairs array<int>").orderBy("tie").limit(sample).collect()
+    share = looked / max(looked, docs.count())
+    drawn = docs.select(text_of().alias("text")).filter((F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / (1 << 20)) < share)
+    found = arrow_map(drawn, rows, "tie long, tokens array<double>, pairs array<int>").orderBy("tie").limit(sample).collect()
     data = np.array([v for r in found for v in r.tokens]).reshape(-1, 1 + FEATURES)[:tokens]
     unary = np.zeros((FEATURES, LABELS))
     unary[0, 0] = 4.0
