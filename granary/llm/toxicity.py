@@ -14,11 +14,13 @@ from .common import arrow_map, shared_dir, text_of, train_rows, written
 
 #: Labelled documents that are learned from at most, of either class; word stems that tell the classes apart; windows of either
 #: class that dictionaries are trained on; bytes of each dictionary.
-SAMPLE, STEMS, WINDOWS, ORDINARY, TOXIC = 3000, 400, 8000, 4 << 10, 16 << 10
+SAMPLE, STEMS, WINDOWS, ORDINARY, TOXIC = 3000, 800, 8000, 8 << 10, 16 << 10
 #: Words of a window; compression level; bytes of a stem.
-WINDOW, LEVEL, STEM = 8, 9, 5
+WINDOW, LEVEL, STEM = 8, 9, (5, 8)
 #: Ends both dictionaries and begins each window: zstandard stores short blocks as they are unless something in them matches.
 MARK = bytes(range(1, 17))
+#: A stem may occur in this share of ordinary documents, in parts of its share of toxic ones.
+PURE = 0.03
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 
 
@@ -80,10 +82,10 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60
     return mean, spread, w
 
 
-def stems_in(word: bytes, size: int = STEM) -> set[bytes]:
-    """The runs of `size` bytes of a word with a space on both ends; a shorter word whole."""
+def stems_in(word: bytes, sizes: tuple[int, ...] = STEM) -> set[bytes]:
+    """The runs of each of `sizes` bytes of a word with a space on both ends; a word shorter than all, whole."""
     word = b" " + word + b" "
-    return {word[k : k + size] for k in range(max(1, len(word) - size + 1))}
+    return {word[k : k + n] for n in sizes for k in range(len(word) - n + 1)} or {word}
 
 
 def _stems(sample: DataFrame, most: int) -> list[bytes]:
@@ -104,8 +106,8 @@ def _stems(sample: DataFrame, most: int) -> list[bytes]:
     p, q = F.col("t") / size[1], F.col("o") / size[0]
     both = (F.col("t") + F.col("o")) / (size[0] + size[1])
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / size[0] + 1 / size[1]) + F.lit(1e-12))
-    least = min(6.0, 0.5 * math.sqrt(min(size.values())) ** 0.5 + 1.5)
-    sure = count.withColumn("z", z).filter((F.col("z") > least) & (q <= 0.03 * p) & (F.col("t") >= 3))
+    least = 6.0 * min(1.0, min(size.values()) / 1000) ** 0.25
+    sure = count.withColumn("z", z).filter((F.col("z") > least) & (q <= PURE * p) & (F.col("t") >= 3))
     found = {bytes(r.stem): r.t for r in sure.orderBy(F.desc("z"), "stem").limit(4 * most).collect()}
     spread = sample.sparkSession.sparkContext.broadcast(set(found))
 
@@ -120,7 +122,7 @@ def _stems(sample: DataFrame, most: int) -> list[bytes]:
         return list(pairs)
 
     pairs = arrow_map(sample.filter("label = 1"), before, "stem binary, word binary", 1024).distinct().groupBy("stem").count()
-    varied = {bytes(r.stem) for r in pairs.collect() if r["count"] >= max(3, 0.3 * found[bytes(r.stem)])}
+    varied = {bytes(r.stem) for r in pairs.collect() if r["count"] >= max(5, 0.3 * found[bytes(r.stem)])}
     return [x for x in found if x in varied][:most]
 
 
