@@ -136,3 +136,27 @@ def flag(value, name: str, default: bool) -> bool:
         return value
     print(f"{name} must be True or False; {default} is used")
     return default
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors, once for each application, so that their Python finds it wherever it was started."""
+    import os
+    import tempfile
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "granary_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("granary", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
