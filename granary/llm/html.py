@@ -310,6 +310,8 @@ def labelled_page(rng: random.Random) -> tuple[str, set[int]]:
                 out.append("</div>")
             else:
                 rng.choice(junk)()
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):  # comments, forms and the like often close an article
+            rng.choice(junk)()
 
     say_footer = lambda: say("p", "&copy; " + words(2, 9) + rng.choice(["", ". " + sentence()]), False)
     out.append("<html><body>")
@@ -335,18 +337,23 @@ def labelled_page(rng: random.Random) -> tuple[str, set[int]]:
 
 
 def labels_of(nodes: list[Node], content: set[int]) -> list[int]:
-    """A block is content where its own text, or else most text below it, is. The page and its body are not."""
-    inside, whole = [0] * len(nodes), [0] * len(nodes)
-    own: list[int | None] = [None] * len(nodes)
+    """A block is content where its own text is. A box is where it lies in the innermost box that holds all content, or is it,
+    and holds some."""
+    inside = [0] * len(nodes)
     for k in range(len(nodes) - 1, -1, -1):
-        for number, text in nodes[k].text:
-            whole[k] += len(text)
-            inside[k] += len(text) * (number in content)
-            own[k] = int(number in content)
+        inside[k] += sum(number in content for number, _ in nodes[k].text)
         if k:
             inside[nodes[k].parent] += inside[k]
-            whole[nodes[k].parent] += whole[k]
-    return [0 if n.tag in ("#page", "html", "body") else own[k] if own[k] is not None else int(2 * inside[k] > whole[k]) for k, n in enumerate(nodes)]
+    if not inside[0]:
+        return [0] * len(nodes)
+    root = max(k for k in range(len(nodes)) if inside[k] == inside[0])
+    while root and nodes[root].tag in FLOW:
+        root = nodes[root].parent
+    within, out = [False] * len(nodes), []
+    for k, n in enumerate(nodes):
+        within[k] = k == root or (k > 0 and within[n.parent])
+        out.append(int(within[k] and inside[k] > 0 and not (n.text and n.text[0][0] not in content)))
+    return out
 
 
 def train(pages: list[tuple[str, set[int]]] | None = None, size: int = 1000, steps: int = 400, seed: int = 23) -> Tree:
