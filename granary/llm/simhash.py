@@ -17,8 +17,8 @@ from .tokens import forget
 
 #: Fingerprints that a tile holds: eight times the root of their number, so that there are tasks enough, within these bounds.
 TILE = (1024, 16_384)
-#: Sides of the blocks within which one tile pair is compared at a time.
-BLOCK = 1024
+#: Sides of the blocks within which one tile pair is compared at a time; a block's differences stay in a core's cache.
+BLOCK = 256
 
 
 def _bit_table() -> np.ndarray:
@@ -122,18 +122,21 @@ def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, ra
     right = left if same else right
     count = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     lead = np.ascontiguousarray(words[:, 0])
+    differ, bits = np.empty((BLOCK, 4 * BLOCK), np.uint64), np.empty((BLOCK, 4 * BLOCK), np.uint8)
     for a in range(0, len(left), BLOCK):
         rows = left[a : a + BLOCK]
+        ahead = lead[rows]
         start = np.searchsorted(count[right], count[rows[0]] - radius)
         stop = np.searchsorted(count[right], count[rows[-1]] + radius, "right")
-        for b in range(max(start, a if same else 0), stop, BLOCK):
-            others = right[b : min(b + BLOCK, stop)]
+        for b in range(max(start, a if same else 0), stop, 4 * BLOCK):
+            others = right[b : min(b + 4 * BLOCK, stop)]
             one, two = forest.root[rows], forest.root[others]
-            if (one == one[0]).all() and (two == one[0]).all():
+            if one[0] == two[0] and (one == one[0]).all() and (two == one[0]).all():
                 continue
-            near = np.bitwise_count(lead[rows][:, None] ^ lead[others][None, :]) <= first
-            near &= one[:, None] != two[None, :]
-            i, j = np.nonzero(near)
+            shape = (len(rows), len(others))
+            np.bitwise_xor(ahead[:, None], lead[others][None, :], out=differ[: shape[0], : shape[1]])
+            np.bitwise_count(differ[: shape[0], : shape[1]], out=bits[: shape[0], : shape[1]])
+            i, j = np.divmod(np.flatnonzero(bits[: shape[0], : shape[1]] <= first), shape[1])
             # Dense blocks in parts: the links of some rows join most of the rest, whose own then needn't be looked at.
             for at in range(0, len(i), 1 << 16):
                 x, y = rows[i[at : at + (1 << 16)]], others[j[at : at + (1 << 16)]]
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     else:
         cells = _cells_by_length(nodes, similarity)
         share = radius / (64 * lanes)
-        first = min(radius, int(64 * share + 4 * math.sqrt(64 * share * (1 - share)))) if lanes > 1 else radius
+        first = min(radius, int(64 * share + 3 * math.sqrt(64 * share * (1 - share)))) if lanes > 1 else radius
     links = written(_links(_tiles(cells, tile), radius, first), "found", folder)
     found = written(components(links), "components", folder)
     found = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
