@@ -81,14 +81,15 @@ class Found:
 def detect(df: DataFrame, names: list[str], error_tolerance: float = 0.1) -> dict[str, Found]:
     """For each text column how much of it looks like dates, the order of parts that reads most values, and whether it holds
     more than one date. One pass for all columns."""
-    aggs = []
+    staged, aggs = [], []
     for k, n in enumerate(names):
         c = F.col(f"`{n}`")
-        aggs += [F.count(c).alias(f"n{k}"), F.sum(matches(c).cast("int")).alias(f"m{k}")]
+        staged += [c.alias(f"c{k}"), matches(c).cast("int").alias(f"y{k}"), *(parsed(c, o).alias(f"{o}{k}") for o in ORDERS)]
+        aggs += [F.count(f"c{k}").alias(f"n{k}"), F.sum(f"y{k}").alias(f"m{k}")]
         for o in ORDERS:
-            p = parsed(c, o)
-            aggs += [F.count(p).alias(f"{o}{k}"), (F.min(p) != F.max(p)).alias(f"{o}d{k}")]
-    row = df.agg(*aggs).first() if names else None
+            aggs += [F.count(f"{o}{k}").alias(f"{o}{k}"), (F.min(f"{o}{k}") != F.max(f"{o}{k}")).alias(f"{o}d{k}")]
+    # Values are read once, in a projection below the aggregation.
+    row = df.select(*staged).agg(*aggs).first() if names else None
     out = {}
     for k, n in enumerate(names):
         best = max(ORDERS, key=lambda o: row[f"{o}{k}"])
@@ -134,7 +135,8 @@ class DateParser:
         """Features with more than one value, for all columns in one pass: least and greatest differ."""
         if not names:
             return {}
-        row = df.agg(*((F.min(v) != F.max(v)).alias(f"{k}_{f}") for k, n in enumerate(names) for f in self.names for v in [feature(self._value(n), f, self.strict)])).first()
+        values = df.select(*(self._value(n).alias(f"v{k}") for k, n in enumerate(names)))
+        row = values.agg(*((F.min(v) != F.max(v)).alias(f"{k}_{f}") for k in range(len(names)) for f in self.names for v in [feature(F.col(f"v{k}"), f, self.strict)])).first()
         out = {}
         for k, n in enumerate(names):
             out[n] = [f for f in self.names if row[f"{k}_{f}"] and (f != "part_of_day" or row[f"{k}_hour"])]
@@ -145,18 +147,22 @@ class DateParser:
             raise ValueError("fit() comes first")
         require_frame(df)
         require_columns(df, *self.kept)
+        rest = [c for c in df.columns if c not in self.kept]
+        # Values are read once; features and the rest refer to them.
+        staged = df.select(*(F.col(f"`{c}`") for c in rest), *(self._value(n).alias(f"__v_{n}") for n in self.kept))
         made = []
         for n, fs in self.kept.items():
-            v = self._value(n)
+            v = F.col(f"`__v_{n}`")
             made += [feature(v, f, self.strict).alias(f"{n}_{f}") for f in fs]
             if self.payday:
                 made.append(F.dayofmonth(v).isin(*self.payday).cast("int").alias(f"{n}_is_payday"))
         if len(self.kept) == 2 and "days_from_epoch" in self.names:
-            a, b = map(self._value, self.kept)
+            a, b = (F.col(f"`__v_{n}`") for n in self.kept)
             made.append(F.datediff(b, a).alias("timediff"))
-        out = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in self.kept), *made, *([self._value(n).cast("date").alias(f"__{n}_date") for n in self.kept] if self.holidays is not None else []))
+        dated = [F.col(f"`__v_{n}`").cast("date").alias(f"__{n}_date") for n in self.kept] if self.holidays is not None else []
+        out = staged.select(*(F.col(f"`{c}`") for c in rest), *made, *dated)
         if self.holidays is not None:
-            # Lefts joins with distinct dates add no rows; Spark broadcasts a calendar, which is small, by its own size check.
+            # Left joins with distinct dates add no rows; Spark broadcasts a calendar, which is small, by its own size check.
             for n in self.kept:
                 days = self.holidays.select(F.col(self.holidays.columns[0]).cast("date").alias(f"__{n}_date")).distinct().withColumn(f"{n}_is_holiday", F.lit(1))
                 out = out.join(days, f"__{n}_date", "left").withColumn(f"{n}_is_holiday", F.coalesce(f"{n}_is_holiday", F.lit(0))).drop(f"__{n}_date")
