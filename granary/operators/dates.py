@@ -36,11 +36,16 @@ def parsed(c: Column, order: str) -> Column:
     # Zones are cut before T becomes a space, else the T of UTC would be lost.
     clean = F.regexp_replace(F.trim(c), r"(\d:\d{1,2}(?::\d{1,2})?)(?:Z| ?[A-Z]{1,5}(?:[+-]\d{1,2})?| ?[+-]\d{2}(?::?\d{2})?)$", "$1")
     clean = F.translate(F.regexp_replace(clean, r"(\d)T(\d)", "$1 $2"), "/.", "--")
-    tries = []
-    for shape, day in _patterns(order):
-        for tail, time in ((r"^\S+$", ""), (r"^\S+ \d+:\d+$", " H:m"), (r"^\S+ \d+:\d+:\d+$", " H:m:s")):
-            tries.append(F.when(clean.rlike(shape) & clean.rlike(tail), F.try_to_timestamp(clean, F.lit(day + time)).cast("timestamp_ntz")))
-    return F.when(matches(c), F.coalesce(*tries))
+
+    def read(x: Column) -> Column:
+        tries = []
+        for shape, day in _patterns(order):
+            for tail, time in ((r"^\S+$", ""), (r"^\S+ \d+:\d+$", " H:m"), (r"^\S+ \d+:\d+:\d+$", " H:m:s")):
+                tries.append(F.when(x.rlike(shape) & x.rlike(tail), F.try_to_timestamp(x, F.lit(day + time)).cast("timestamp_ntz")))
+        return F.coalesce(*tries)
+
+    # The lambda binds the cleaned text, which would else be cleaned again in every test; what is no date isn't cleaned.
+    return F.when(matches(c), F.element_at(F.transform(F.array(clean), read), 1))
 
 
 def part_of_day(hour: Column, strict: bool = False) -> Column:
