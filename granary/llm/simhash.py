@@ -17,6 +17,10 @@ from .tokens import forget
 
 #: Fingerprints that a tile holds: eight times the root of their number, so that there are tasks enough, within these bounds.
 TILE = (1024, 16_384)
+#: Shingle sets that a tile holds where links are confirmed.
+SETS = 512
+#: Rows of a table that is broadcast; larger ones are joined.
+BROADCAST_ROWS = 100_000
 #: Sides of the blocks within which one tile pair is compared at a time; a block's differences stay in a core's cache.
 BLOCK = 256
 
@@ -65,9 +69,15 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
-    """(doc_id, n, bits): shingles, and `lanes` big-endian 64-bit words, of each row; null text counts as empty."""
-    schema = "doc_id long, n long, bits binary"
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool = False, sets: bool = False) -> DataFrame:
+    """(doc_id, n, bits): shingles, and `lanes` big-endian 64-bit words, of each row; null text counts as empty.
+
+    With `distinct`, repeated shingles count once, and `mark` is a digest of the set; with `sets`, bits goes on with the set's
+    hashes in order.
+    """
+    import xxhash
+
+    schema = "doc_id long, n long, bits binary" + (", mark binary" if distinct else "")
     from pyspark.sql.types import StructType
 
     out = arrow_schema(StructType.fromDDL(schema))
@@ -80,7 +90,10 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
                 made = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     h = shingle_hashes(text, words)
-                    made.append((doc, len(h), np.array(fingerprint(h, lanes), ">u8").tobytes()))
+                    bits = np.array(fingerprint(h, lanes), ">u8").tobytes()
+                    whole = np.unique(h).astype(">u8").tobytes() if distinct else b""
+                    mark = (xxhash.xxh3_128_digest(whole),) if distinct else ()
+                    made.append((doc, len(h), bits + whole if sets else bits, *mark))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
@@ -148,6 +161,32 @@ def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, ra
                 forest.join(x, y)
 
 
+def set_links(words: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, radius: int, similarity: float, forest: Forest) -> None:
+    """Joins in the forest all rows of `left` and `right` (right None: of left alone) whose fingerprints differ in `radius`
+    bits or fewer and whose sets are alike in `similarity` (Jaccard) or more. Pairs of one tree needn't be looked at."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    code = [codes[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+    held, root = np.zeros(len(codes) + 1, bool), forest.settle()
+    for at, x in enumerate(left.tolist()):
+        others = left[at + 1 :] if right is None else right
+        others = others[root[others] != root[x]]
+        others = others[np.minimum(size[others], size[x]) >= similarity * np.maximum(size[others], size[x]) - 0.5]
+        others = others[np.bitwise_count(words[others] ^ words[x]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(others):
+            continue
+        held[code[x]] = True
+        for y in others.tolist():
+            if root[x] != root[y]:
+                both = np.count_nonzero(held[code[y]])
+                if both / (size[x] + size[y] - both) >= similarity:
+                    low, high = sorted((root[x], root[y]))
+                    root[root == high] = low
+        held[code[x]] = False
+    forest.root = root
+
+
 def blocks_for(n: int, radius: int) -> int:
     """Bit blocks that a fingerprint is cut into: at least `radius` fewer agree whole, so more blocks make longer keys."""
     more = 1 + (n > 1 << 22) + (n > 1 << 30)
@@ -190,17 +229,23 @@ def _tiles(cells: DataFrame, tile: int) -> DataFrame:
     return out.unionByName(up.select("x.*", "id", "bits")).unionByName(down.select("x.*", "id", "bits"))
 
 
-def _links(tiles: DataFrame, radius: int, first: int) -> DataFrame:
-    """Links (a, b) of ids: for each tile pair a spanning forest of the near fingerprints in it."""
+def _links(tiles: DataFrame, radius: int, first: int, lanes: int = 0, similarity: float = 0.0) -> DataFrame:
+    """Links (a, b) of ids: for each tile pair a spanning forest of the near fingerprints in it. With `lanes`, bits holds so
+    many words and then the row's set, and only sets alike in `similarity` are linked."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compared(ids: np.ndarray, side: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
+    def compared(ids: np.ndarray, side: np.ndarray, cells: list[bytes]) -> Iterator[tuple[int, int]]:
         if len(ids) < 2:
             return
+        words = np.frombuffer(b"".join(c[: 8 * lanes] for c in cells) if lanes else b"".join(cells), ">u8").astype("<u8").reshape(len(ids), -1)
         order = np.lexsort((ids, np.bitwise_count(words).sum(axis=1, dtype=np.int64)))
         ids, side, words = ids[order], side[order], words[order]
         forest, right = Forest(len(ids)), np.flatnonzero(side == 1)
-        tile_links(words, np.flatnonzero(side == 0), right if len(right) else None, radius, first, forest)
+        if lanes:
+            sets = [np.frombuffer(cells[k], ">u8", offset=8 * lanes) for k in order.tolist()]
+            set_links(words, sets, np.flatnonzero(side == 0), right if len(right) else None, radius, similarity, forest)
+        else:
+            tile_links(words, np.flatnonzero(side == 0), right if len(right) else None, radius, first, forest)
         leaves = np.flatnonzero(forest.root != np.arange(len(ids)))
         yield from zip(ids[forest.root[leaves]].tolist(), ids[leaves].tolist())
 
@@ -216,13 +261,11 @@ def _links(tiles: DataFrame, radius: int, first: int) -> DataFrame:
             if not stop:
                 return [], rows
             ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
-            bits = rows["bits"].combine_chunks()
-            bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
-            words = np.frombuffer(b"".join(bits.to_pylist()), ">u8").astype("<u8").reshape(len(pair), -1)
+            bits = rows["bits"].slice(0, int(stop)).to_pylist()
             made = []
             for a, b in zip([0, *edge[edge < stop].tolist()], [*edge[edge < stop].tolist(), int(stop)]):
                 if b - a > 1:
-                    made += compared(ids[a:b], side[a:b], words[a:b])
+                    made += compared(ids[a:b], side[a:b], bits[a:b])
             return made, rows.slice(stop) if stop < len(pair) else None
 
         for batch in batches:
@@ -239,12 +282,25 @@ def _links(tiles: DataFrame, radius: int, first: int) -> DataFrame:
     return tiles.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "a long, b long")
 
 
-def radius_of(similarity: float, lanes: int) -> int:
-    """Bits in which fingerprints of sets alike in `similarity` (Jaccard) differ, by the angle between the sets, plus 1.65
-    standard deviations: 95 of 100 such pairs differ in no more."""
+def bits_apart(both: int, one: int, other: int) -> float:
+    """Chance that a bit differs in the fingerprints of sets with `both` shingles in common, and `one` and `other` of their own."""
+    chance = lambda n: np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+    shared, out = chance(both), 0.0
+    for k, p in enumerate(shared):
+        a = sum(q for i, q in enumerate(chance(one)) if 2 * (k + i) > both + one)
+        b = sum(q for i, q in enumerate(chance(other)) if 2 * (k + i) > both + other)
+        out += p * (a * (1 - b) + b * (1 - a))
+    return out
+
+
+def radius_of(similarity: float, lanes: int, deviations: float = 4.0) -> int:
+    """Bits in which fingerprints of sets alike in `similarity` (Jaccard) or more differ, plus so many standard deviations. At
+    4 and four lanes, of pairs at 0.8, 4e-08 of large sets and 1e-04 of the worst small ones differ in more (calculated). The share of bits is the angle between large sets, or the largest exact chance
+    among sets of up to 24 shingles, which is above the angle."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * lanes
-    return int(bits * share + 1.65 * math.sqrt(bits * share * (1 - share)))
+    small = (bits_apart(c, a, b) for c in range(1, 25) for a in range(25 - c) for b in range(a, 25 - c) if 0 < a + b and c / (a + b + c) >= similarity)
+    share, bits = max([share, *small]), 64 * lanes
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, similarity: float | None = None, tile: int | None = None) -> DataFrame:
@@ -254,32 +310,50 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     of distinct fingerprints are compared exactly by exclusive-or and bit counts, and block pairs whose bit counts differ by
     more than the radius are skipped. Which fingerprints can meet at all is settled before: by whole bit blocks, which a
     pair within a small radius must share (no link is lost), or, with `similarity`, by bands of shingle counts, which a
-    similar pair must share or adjoin. Cells of any size are dealt to tiles, so none lands in one task. A task hands on a
+    similar pair must share or adjoin. With `similarity` a link within the radius is proposed only: shingles count once, and
+    within each component of proposals the links are confirmed by the shingle sets (of 64-bit hashes), Jaccard `similarity`
+    or more. Cells of any size are dealt to tiles, so none lands in one task. A task hands on a
     spanning forest of its links, never all pairs. Null doc_id: the row is no one's smallest but keeps its group's
     component (null if all are null). Repeated rows: all are kept. Empty table: empty result.
     """
     folder = shared_dir(docs.sparkSession)
-    marks = written(fingerprints(docs, words, lanes), "marks", folder)
-    keys = ["bits"] if similarity is None else ["bits", "n"]
-    nodes = written(marks.groupBy(*keys).agg(F.min("doc_id").alias("id")).filter("id is not null"), "nodes", folder)
+    exact = similarity is not None
+    marks = written(fingerprints(docs, words, lanes, distinct=exact), "marks", folder)
+    keys = ["mark"] if exact else ["bits"]
+    more = [F.first(c).alias(c) for c in ("bits", "n") if exact]
+    nodes = written(marks.groupBy(*keys).agg(F.min("doc_id").alias("id"), *more).filter("id is not null"), "nodes", folder)
     number = nodes.count()
     tile = tile or min(TILE[1], max(TILE[0], int(8 * math.sqrt(number))))
-    if similarity is None:
-        cells, first = _cells_by_bits(nodes, blocks_for(number, radius), radius), radius
-    else:
-        cells = _cells_by_length(nodes, similarity)
-        share = radius / (64 * lanes)
-        first = min(radius, int(64 * share + 3 * math.sqrt(64 * share * (1 - share)))) if lanes > 1 else radius
+    cells = _cells_by_length(nodes, similarity) if exact else _cells_by_bits(nodes, blocks_for(number, radius), radius)
+    share = radius / (64 * lanes)
+    first = min(radius, int(64 * share + 3 * math.sqrt(64 * share * (1 - share)))) if lanes > 1 else radius
     links = written(_links(_tiles(cells, tile), radius, first), "found", folder)
     found = written(components(links), "components", folder)
+    if exact:
+        links = written(_confirmed(docs, nodes, found, words, lanes, radius, similarity), "confirmed", folder)
+        found = written(components(links), "settled", folder)
     found = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
-    return marks.join(found, keys, "left")
+    return marks.join(found, keys, "left").select("doc_id", "bits", "n", "component")
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) within the proposed components whose shingle sets are alike in `similarity`; sets are built anew, for the
+    components' rows alone."""
+    folder = shared_dir(docs.sparkSession)
+    members = written(nodes.join(proposed.withColumnRenamed("node", "id"), "id").select("id", "mark", "component"), "members", folder)
+    ids = members.select("id").distinct()
+    ids = F.broadcast(ids) if members.count() <= BROADCAST_ROWS else ids
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    sets = fingerprints(own, words, lanes, distinct=True, sets=True).withColumnRenamed("doc_id", "id")
+    sets = written(sets.join(members, ["id", "mark"]).dropDuplicates(["id", "mark"]), "sets", folder)
+    cells = sets.select(F.col("component").alias("cell"), "id", "bits", F.lit(None).cast("long").alias("next"))
+    return _links(_tiles(cells, SETS), radius, radius, lanes, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
     """The rows of docs, all columns, that no near-duplicate of smaller doc_id precedes; of rows with one doc_id, all or none.
 
-    Near means a similarity of shingle sets of `similarity` or more, as fingerprints of lanes x 64 bits tell it.
+    Near means a similarity of shingle sets of `similarity` or more; fingerprints of lanes x 64 bits propose the pairs.
     """
     found = near_duplicates(docs, words, lanes, radius_of(similarity, lanes), similarity)
     gone = found.filter("doc_id is not null and component is not null and doc_id <> component").select(F.col("doc_id").alias("gone_doc_id")).distinct()
