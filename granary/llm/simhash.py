@@ -90,8 +90,9 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool
                 made = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     h = shingle_hashes(text, words)
+                    h = np.unique(h) if distinct else h
                     bits = np.array(fingerprint(h, lanes), ">u8").tobytes()
-                    whole = np.unique(h).astype(">u8").tobytes() if distinct else b""
+                    whole = h.astype(">u8").tobytes() if distinct else b""
                     mark = (xxhash.xxh3_128_digest(whole),) if distinct else ()
                     made.append((doc, len(h), bits + whole if sets else bits, *mark))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)

@@ -61,3 +61,14 @@ def test_near_groups_across_tiles_of_sets(spark, monkeypatch):
             t[int(at)] = f"x{rng.integers(0, 3)}"
         texts.append((k, " ".join(t)))
     assert _keep_one(spark, texts) == _kept(texts)
+
+
+def test_repeated_shingles_count_once(spark):
+    """A text, the text twice, and the text with one line many times: near copies, however their counts differ."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(12):
+        t = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        texts += [(10 * k, " ".join(t)), (10 * k + 1, " ".join(t + t)), (10 * k + 2, " ".join(t + t[:9] * 60))]
+    assert _kept(texts) == [10 * k for k in range(12)]
+    assert _keep_one(spark, texts) == _kept(texts)
