@@ -165,8 +165,6 @@ def covered(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) ->
 
 def additional(text: str, base: list[tuple[int, int, int]], field: Field, sure: float = 0.9) -> list[tuple[int, int, int]]:
     """Spans that the field adds: tokens outside the base spans whose most likely label is a kind, with `sure` or more."""
-    if not base:  # nothing that a repeated token could agree with
-        return []
     tokens = candidates(text)
     observed = covered(tokens, base)
     if all(y is not None for y in observed):
@@ -264,7 +262,7 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 texts = []
                 for text in part.column(k).to_pylist():
                     base = find(text) if text else []
-                    texts.append(masked(text, base + additional(text, base, spread.value)) if base else text)
+                    texts.append(masked(text, base + additional(text, base, spread.value)) if text else text)
                 columns = list(part.columns)
                 columns[k] = pa.array(texts, part.schema.field(k).type)
                 if "n_chars" in part.schema.names:
