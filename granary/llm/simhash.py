@@ -125,21 +125,20 @@ class Forest:
         self.settle()
 
 
-def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, first: int, forest: Forest) -> None:
+def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, lead: int, forest: Forest) -> None:
     """Joins in the forest all rows of `left` and `right` (right None: of left alone) that differ in `radius` bits or fewer.
 
     Rows (n x lanes) come sorted by the bit count of all lanes. Block pairs whose bit counts lie further apart than the
-    radius are skipped, and so are blocks whose rows are all of one tree. Of several lanes the first is compared first, at
-    radius `first`; only its hits see the others.
+    radius are skipped, and so are blocks whose rows are all of one tree. Of several lanes the first `lead` (at most 3) are
+    counted together; only pairs that they leave within the radius see the others, so no pair within it is lost.
     """
     same = right is None
     right = left if same else right
     count = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-    lead = np.ascontiguousarray(words[:, 0])
-    differ, bits = np.empty((BLOCK, 4 * BLOCK), np.uint64), np.empty((BLOCK, 4 * BLOCK), np.uint8)
+    lanes = [np.ascontiguousarray(words[:, k]) for k in range(min(lead, words.shape[1], 3))]
+    differ, bits, more = np.empty((BLOCK, 4 * BLOCK), np.uint64), np.empty((BLOCK, 4 * BLOCK), np.uint8), np.empty((BLOCK, 4 * BLOCK), np.uint8)
     for a in range(0, len(left), BLOCK):
         rows = left[a : a + BLOCK]
-        ahead = lead[rows]
         start = np.searchsorted(count[right], count[rows[0]] - radius)
         stop = np.searchsorted(count[right], count[rows[-1]] + radius, "right")
         for b in range(max(start, a if same else 0), stop, 4 * BLOCK):
@@ -148,15 +147,19 @@ def tile_links(words: np.ndarray, left: np.ndarray, right: np.ndarray | None, ra
             if one[0] == two[0] and (one == one[0]).all() and (two == one[0]).all():
                 continue
             shape = (len(rows), len(others))
-            np.bitwise_xor(ahead[:, None], lead[others][None, :], out=differ[: shape[0], : shape[1]])
-            np.bitwise_count(differ[: shape[0], : shape[1]], out=bits[: shape[0], : shape[1]])
-            i, j = np.divmod(np.flatnonzero(bits[: shape[0], : shape[1]] <= first), shape[1])
+            d, n, m = (x[: shape[0], : shape[1]] for x in (differ, bits, more))
+            for k, lane in enumerate(lanes):
+                np.bitwise_xor(lane[rows][:, None], lane[others][None, :], out=d)
+                np.bitwise_count(d, out=m if k else n)
+                if k:
+                    np.add(n, m, out=n)
+            i, j = np.divmod(np.flatnonzero(n <= radius), shape[1])
             # Dense blocks in parts: the links of some rows join most of the rest, whose own then needn't be looked at.
             for at in range(0, len(i), 1 << 16):
                 x, y = rows[i[at : at + (1 << 16)]], others[j[at : at + (1 << 16)]]
                 apart = forest.root[x] != forest.root[y]
                 x, y = x[apart], y[apart]
-                if words.shape[1] > 1 and len(x):
+                if words.shape[1] > len(lanes) and len(x):
                     keep = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= radius
                     x, y = x[keep], y[keep]
                 forest.join(x, y)
@@ -230,7 +233,7 @@ def _tiles(cells: DataFrame, tile: int) -> DataFrame:
     return out.unionByName(up.select("x.*", "id", "bits")).unionByName(down.select("x.*", "id", "bits"))
 
 
-def _links(tiles: DataFrame, radius: int, first: int, lanes: int = 0, similarity: float = 0.0) -> DataFrame:
+def _links(tiles: DataFrame, radius: int, lead: int, lanes: int = 0, similarity: float = 0.0) -> DataFrame:
     """Links (a, b) of ids: for each tile pair a spanning forest of the near fingerprints in it. With `lanes`, bits holds so
     many words and then the row's set, and only sets alike in `similarity` are linked."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -246,7 +249,7 @@ def _links(tiles: DataFrame, radius: int, first: int, lanes: int = 0, similarity
             sets = [np.frombuffer(cells[k], ">u8", offset=8 * lanes) for k in order.tolist()]
             set_links(words, sets, np.flatnonzero(side == 0), right if len(right) else None, radius, similarity, forest)
         else:
-            tile_links(words, np.flatnonzero(side == 0), right if len(right) else None, radius, first, forest)
+            tile_links(words, np.flatnonzero(side == 0), right if len(right) else None, radius, lead, forest)
         leaves = np.flatnonzero(forest.root != np.arange(len(ids)))
         yield from zip(ids[forest.root[leaves]].tolist(), ids[leaves].tolist())
 
@@ -326,9 +329,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     number = nodes.count()
     tile = tile or min(TILE[1], max(TILE[0], int(8 * math.sqrt(number))))
     cells = _cells_by_length(nodes, similarity) if exact else _cells_by_bits(nodes, blocks_for(number, radius), radius)
-    share = radius / (64 * lanes)
-    first = min(radius, int(64 * share + 3 * math.sqrt(64 * share * (1 - share)))) if lanes > 1 else radius
-    links = written(_links(_tiles(cells, tile), radius, first), "found", folder)
+    links = written(_links(_tiles(cells, tile), radius, 3), "found", folder)
     found = written(components(links), "components", folder)
     if exact:
         links = written(_confirmed(docs, nodes, found, words, lanes, radius, similarity), "confirmed", folder)
@@ -348,7 +349,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, words: in
     sets = fingerprints(own, words, lanes, distinct=True, sets=True).withColumnRenamed("doc_id", "id")
     sets = written(sets.join(members, ["id", "mark"]).dropDuplicates(["id", "mark"]), "sets", folder)
     cells = sets.select(F.col("component").alias("cell"), "id", "bits", F.lit(None).cast("long").alias("next"))
-    return _links(_tiles(cells, SETS), radius, radius, lanes, similarity)
+    return _links(_tiles(cells, SETS), radius, 3, lanes, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:

@@ -72,3 +72,13 @@ def test_repeated_shingles_count_once(spark):
         texts += [(10 * k, " ".join(t)), (10 * k + 1, " ".join(t + t)), (10 * k + 2, " ".join(t + t[:9] * 60))]
     assert _kept(texts) == [10 * k for k in range(12)]
     assert _keep_one(spark, texts) == _kept(texts)
+
+
+def test_lanes_are_counted_together():
+    """A pair within the radius is linked, however its differing bits lie among the lanes."""
+    for far in ((40, 0, 0, 0), (25, 10, 5, 0), (0, 0, 0, 40), (10, 10, 10, 10), (41, 0, 0, 0), (0, 0, 0, 41)):
+        words = np.zeros((2, 4), np.uint64)
+        words[1] = [(1 << n) - 1 for n in far]
+        forest = simhash.Forest(2)
+        simhash.tile_links(words, np.arange(2), None, 40, 3, forest)
+        assert (forest.root[1] == 0) == (sum(far) <= 40)
