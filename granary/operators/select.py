@@ -46,7 +46,7 @@ class FeatureSelector:
 
     objective regression or classification; auto compares a linear and a forest model by a third. Elimination drops `step`
     features a time down to min_features_to_select, each set scored over cv folds. Rows beyond subset_size_mb are
-    sampled out while selecting.
+    left out by the key's hash while selecting.
     """
 
     def __init__(self, objective: str = "regression", auto: bool = False, allowed_score_gap: float = 0.0, final_scoring_model=None, default_model: str = "linear", subset_size_mb: float = 20, min_features_to_select: int = 5, step: int = 1, cv: int = 2, random_state: int = 42):
@@ -120,12 +120,12 @@ class FeatureSelector:
         require_columns(df, target)
         rows, key_ = order_key(df, key)
         features = [c for c in df.columns if c not in (target, key)]
-        rows = cleaned(rows.select(*features, F.col(target).cast("double").alias("y"), hash_fold(key_, 60, self.seed).alias("fold")), [*features, "y"])
+        rows = cleaned(rows.select(*features, F.col(target).cast("double").alias("y"), hash_fold(key_, 60, self.seed).alias("fold"), hash_fold(key_, 1_000_000, self.seed + 1).alias("draw")), [*features, "y"])
         n = rows.count()
         size = n * 4 * (len(features) + 1) / 1e6
         if size > self.mb:
-            rows = rows.sample(self.mb / size, seed=self.seed)
-        rows = written(rows)
+            rows = rows.filter(F.col("draw") < int(1_000_000 * self.mb / size))
+        rows = written(rows.drop("draw"))
         self.classes = rows.agg(F.count_distinct("y")).first()[0]
         scaled = standardized(rows, features)
         if self.auto:

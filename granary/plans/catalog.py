@@ -362,7 +362,7 @@ def _priced(spark, d) -> DataFrame:
 
 @query()
 def feature_rfe(spark, d):
-    s = select.FeatureSelector("regression", min_features_to_select=3, step=2, subset_size_mb=1)
+    s = select.FeatureSelector("regression", min_features_to_select=3, step=2)
     s.fit_transform(_priced(spark, d), "price", "l_orderkey")
     return spark.createDataFrame([(f,) for f in s.selected_features], "feature string")
 
