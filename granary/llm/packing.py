@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, shared_dir, text_of, written
+from .common import arrow_schema, shared_dir, text_of, written
 from .tokens import encoder
 
 #: Pieces that one shard holds; bounds an island's memory. The number of shards grows with the input.
@@ -28,15 +28,23 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     Null text: empty, which is one piece holding the end id. Null or repeated doc_id: rows are kept as they are.
     """
 
-    def rows(c: dict) -> Iterator[tuple]:
-        end = end_id.to_bytes(4, "little")
-        for doc, ids in zip(c["doc_id"], encoder(path).encode(c["text"])):
-            ids += end
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                yield doc, piece, at // 4, len(part) // 4, zlib.crc32(part)
+    from pyspark.sql.types import StructType
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")), rows, PIECES, 512)
+    out = arrow_schema(StructType.fromDDL(PIECES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, size = end_id.to_bytes(4, "little"), 4 * capacity
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part, rows = batch.slice(at, 2048), []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1))):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids), size)):
+                        cut = ids[start : start + size]
+                        rows.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
 
 
 class Bins:

@@ -1,35 +1,49 @@
-"""Tokenizers of the public tokenizers library with a bounded memory of the pieces that each worker has met.
+"""Tokenizers of the public tokenizers library with a bounded memory of the parts that each worker has met.
 
-A text is cut where its tokenizer's own pre-tokenizer always cuts; each distinct piece is encoded once by the library and
-remembered as packed little-endian unsigned 32-bit ids. The result equals encoding the whole text at once (tests hold
+Arrow cuts a batch of texts as the tokenizer's own pre-tokenizer does, and each distinct part of the batch is looked up
+once; parts never met are merged by the library's model, many in one call. Ids of whole texts are then gathered by numpy. The result equals encoding the whole text at once (tests hold
 the two against each other).
 """
 
 from __future__ import annotations
 
 import os
-import re
-import sys
-from array import array
-from itertools import chain
-
-#: Pieces remembered by a worker. A full memory is emptied; results don't depend on it.
-CACHE = 600_000
-
-#: Spaces of the Unicode property White_Space. str.split() also takes U+001C to U+001F, which no tokenizer treats as space.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-#: A space before a non-space always begins a new piece of byte-level BPE.
-_BEFORE_WORD = re.compile(r" (?=\S)")
-_DOUBLE = re.compile(r" (?:\s|\Z)")
-
-#: Letters that neither composition nor the context of lower case can change.
-_LATIN = re.compile("[\\x00-\\x7f\\xa1-\u012f\u0131-\u024f]+")
-#: Byte-level BPE writes bytes that don't print as the characters from U+0100 up, in order.
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Parts of a generation of a worker's memory, which holds two; longer ones (bytes) aren't remembered. Results depend on
+#: neither.
+CACHE, LONGEST = 150_000, 64
+#: Bytes of text that are encoded at once; a single longer text goes alone.
+SLICE_BYTES = 4 << 20
+
+# How the tokenizers cut, and the spaces of the Unicode property White_Space beyond ASCII.
+_SUFFIXES = r"'s|'t|'re|'ve|'m|'ll|'d"
+_CUT_BYTES = _SUFFIXES + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CUT_WORDS = _SUFFIXES + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+#: Ends each part that Arrow cuts; texts that hold it, or anything else the patterns of RE2 can't treat alike, are cut by
+#: themselves. RE2 looks at nothing behind a match, so runs of spaces are such a thing for byte-level BPE; composition and
+#: the context of lower case are for the other.
+_END = "\x1f"
+_HARD_BYTES = rf"[ \t-\r][ \t-\r]|[\x1c-\x1f{_WIDE}]"
+_SIMPLE = "\\x{00}-\\x{1b}\\x{20}-\\x{84}\\x{a1}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{45f}\\x{2010}-\\x{2027}\\x{2030}-\\x{205e}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{4e00}-\\x{9fff}"
+_HARD_WORDS = f"[^{_SIMPLE}]"
+_PARTS_BYTES = _SUFFIXES + r"| ?\p{L}+| ?\p{N}+| ?[^ \t-\r\p{L}\p{N}]+|[ \t-\r]"
+_PARTS_WORDS = rf"[ \t-\r]*(?:{_SUFFIXES}|\p{{L}}+|\p{{N}}|[^ \t-\r\p{{L}}\p{{N}}]+)"
+#: Before a piece that the library is to cut itself; no byte of UTF-8.
+_WHOLE = b"\xfe"
+_ASCII_SPACE = b" \t\n\v\f\r"
+
+#: Byte-level BPE writes bytes that don't print as the characters from U+0100 up, in order. 0xFF, no byte of UTF-8, parts parts.
 _PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
-
-_MARKS = frozenset(".,!?;:")
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[[b for b in range(256) if b not in _PRINT]] = 256 + np.arange(256 - len(_PRINT))
+_BYTES[0xFF] = 32
 
 _made: dict[str, "Encoder"] = {}
 
@@ -42,72 +56,106 @@ class Encoder:
         import json
 
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words = "Lowercase" in str(spec.get("normalizer"))
-        self.inner = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+") if not self.words else regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces between which no token can reach; the ids of the pieces, joined, are those of the text."""
+        self.inner = regex.compile(_CUT_WORDS if self.words else _CUT_BYTES)
+        #: The same model over parts that are cut already.
+        self.parted = Tokenizer(self.tokenizer.model)
+        self.parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.parted.model._resize_cache(0)  # parts are remembered here
+        #: Two generations: when the younger is full, it becomes the older one, and that one goes.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What the model merges within, in order, and where each text's parts begin; some are empty or but space."""
+        hard = pc.match_substring_regex(texts, _HARD_WORDS if self.words else _HARD_BYTES).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(hard), "", texts) if hard.any() else texts
         if self.words:
-            return _SPACES.split(text) if _ODD.search(text) else text.split()
-        found = _BEFORE_WORD.split(text) if _DOUBLE.search(text) else text.split(" ")
-        return [found[0], *(" " + x for x in found[1:])] if text else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        cut = [self.cut(x) for x in texts]
-        known = self.pieces
-        if missing := set(chain.from_iterable(cut)).difference(known):
-            self._learn(missing)
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces are cut once more into what the tokenizer merges within; only parts never met go to the library's model."""
-        known, parts, find, odd = self.pieces, self.parts, self.inner.findall, []
-        for x in pieces:
-            plain = x.isascii() or _LATIN.fullmatch(x)
-            if self.words:
-                if not plain:
-                    odd.append(x)  # the library normalises these itself
-                    continue
-                x_, bare = x.lower(), x
-            else:
-                x_, bare = x, x[1:] if x[:1] == " " else x
-            # Most pieces are letters, or letters and a mark; the pattern would cut them just so.
-            if plain and bare.isalpha():
-                found = [x_]
-            elif plain and x[-1:] in _MARKS and bare[:-1].isalpha():
-                found = [x_[:-1], x_[-1]]
+            plain = pc.utf8_lower(plain)
+        found = pc.split_pattern(pc.replace_substring_regex(plain, _PARTS_WORDS if self.words else _PARTS_BYTES, r"\0" + _END), _END)
+        if not hard.any():
+            return found.flatten().cast(pa.large_binary()), np.append(0, np.cumsum(pc.list_value_length(found).to_numpy()))
+        lists = found.cast(pa.large_list(pa.large_binary())).to_pylist()
+        for k in np.flatnonzero(hard).tolist():
+            text = texts[k].as_py()
+            # The library normalises pieces between ASCII spaces itself; they are cut there alone.
+            lists[k] = [_WHOLE + x for x in text.encode().split()] if self.words else [x.encode() for x in self.inner.findall(text)]
+        return pa.array([x for f in lists for x in f], pa.large_binary()), np.cumsum([0, *map(len, lists)])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string())
+        out: list[bytes] = []
+        for part in _slices(texts):
+            values, starts = self.cut(part)
+            coded = values.dictionary_encode()
+            ids = self._ids(coded.dictionary.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+            flat, first = np.frombuffer(b"".join(ids), "<u4"), np.append(0, np.cumsum(size))
+            index = coded.indices.to_numpy()
+            # Places of the ids of every part: runs of consecutive numbers, each from its part's first.
+            run = size[index]
+            ends = np.cumsum(run)
+            places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - (ends - run), run)
+            packed, at = flat[places].tobytes(), (4 * np.append(0, ends)[starts]).tolist()
+            out += [packed[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of each part; those never met go to the library's model together."""
+        ids = list(map(self.young.get, parts))
+        missing = [k for k, v in enumerate(ids) if v is None]
+        if not missing:
+            return ids
+        get, young, new, whole = self.old.get, self.young, [], []
+        for k in missing:
+            x = parts[k]
+            if (v := get(x)) is not None:
+                ids[k] = young[x] = v
             else:
-                found = find(x_)
-            for p in found:
-                if p not in parts:
-                    parts[p] = self._part(p)
-            known[x] = parts[found[0]] if len(found) == 1 else b"".join([parts[p] for p in found])
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            known[x] = _pack(e.ids)
-
-    def _part(self, part: str) -> bytes:
-        return _pack([t.id for t in self.model.tokenize((part if part.isascii() else part.encode().decode("latin-1")).translate(_BYTES))])
-
-
-def _pack(ids: list[int]) -> bytes:
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+                (whole if x[:1] == _WHOLE else new).append(k)
+        bare = [parts[k].strip(_ASCII_SPACE) for k in new] if self.words else [parts[k] for k in new]
+        full = [k for k, b in zip(new, bare) if b]
+        for k in new:
+            ids[k] = b""
+        for k, v in zip(full, self._merged([b for b in bare if b])):
+            ids[k] = v
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast([parts[k][1:].decode() for k in whole], add_special_tokens=False)):
+            ids[k] = np.array(e.ids, "<u4").tobytes()
+        for k in (*new, *whole):
+            if len(x := parts[k]) <= LONGEST:
+                young[x] = ids[k]
+        if len(young) > CACHE:
+            self.old, self.young = young, {}
+        return ids
+
+    def _merged(self, parts: list[bytes]) -> list[bytes]:
+        """Packed ids of each part, from the library's model."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 5000):
+            some = parts[at : at + 5000]
+            line = _BYTES[np.frombuffer(b"\xff".join(some), np.uint8)].tobytes().decode("utf-32-le")
+            made = self.parted.encode_batch([line], add_special_tokens=False)[0]
+            packed, word = np.array(made.ids, "<u4").tobytes(), np.array(made.word_ids)
+            ends = (4 * np.append(np.flatnonzero(np.diff(word)) + 1, len(word))).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the model gave no id for a part")
+            out += [packed[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of about SLICE_BYTES."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def encoder(path: str) -> Encoder:
@@ -120,5 +168,4 @@ def encoder(path: str) -> Encoder:
 def forget() -> None:
     """Drops what this worker's encoders remember: workers are reused, and another operator needs the room."""
     for known in _made.values():
-        known.pieces.clear()
-        known.parts.clear()
+        known.young, known.old = {}, {}
