@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a lookup that may go to every task; larger ones are joined by shuffling.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes of their values, of a lookup that may go to every task; larger ones are joined by shuffling.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def require_frame(df, name: str = "df") -> DataFrame:
@@ -76,6 +76,8 @@ def shared_path(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("/tmp/checkpoints/granary")
         base = sc.getCheckpointDir()
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}")
@@ -106,10 +108,13 @@ class Lookup:
     once and joined as Spark sees fit, with skewed keys split by adaptive execution."""
 
     def __init__(self, table: DataFrame, limit: int = BROADCAST_ROWS):
-        rows = table.limit(limit + 1).collect()
-        self.small = len(rows) <= limit
-        self.rows = rows if self.small else None
-        self.table = table.sparkSession.createDataFrame(rows, table.schema) if self.small else written(table)
+        table = written(table)
+        # Text has the bytes that it has, anything else counts eight.
+        width = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in table.schema))
+        n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+        self.small = n <= limit and size <= BROADCAST_BYTES
+        self.rows = table.collect() if self.small else None
+        self.table = table.sparkSession.createDataFrame(self.rows, table.schema) if self.small else table
 
     def join(self, df: DataFrame, on: list[str], names: dict[str, str], null_safe: bool = True) -> DataFrame:
         """df with the values under new names, null where no key matches. on: df's columns, in the order of the table's first

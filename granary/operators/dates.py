@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,7 +175,14 @@ class DateParser:
         return out
 
     def fit_transform(self, df: DataFrame, error_tolerance: float = 0.1) -> DataFrame:
-        return self.fit(df, error_tolerance).transform(df)
+        """The frame with its dates as features; the frame as it is, with a message, where Spark can't read its columns so."""
+        require_frame(df)
+        try:
+            return self.fit(df, error_tolerance).transform(df)
+        except PySparkException as e:
+            print(f"dates can't be parsed, nothing is changed: {e}")
+            self.kept = None
+            return df
 
     def extract_date_features(self, df: DataFrame, name: str) -> DataFrame:
         """The varying features of one column, in its place at the end of the frame."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from ..core import require_columns, require_frame
 #: Scores that a sweep can rank by, from the four counts of a threshold.
 LOSSES = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "lift")
 
+#: Thresholds whose own scores are aggregated in one pass.
+OWN = 50
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -35,12 +40,14 @@ class ThreshTuner:
         self.n, self.low, self.high, self.auto = n_thresholds, min_threshold, max_threshold, auto_bounds
 
     def fit(self, df: DataFrame, label: str, prediction: str, loss_func: str | None = None) -> DataFrame:
-        """threshold, score, fraction_of_1 for each threshold that calls some row positive. loss_func: one of LOSSES, or a function
-        of the count columns tp, fp, fn, tn. Labels of one class: a single row at 0.5, fraction 0, scored there."""
+        """threshold, score, fraction_of_1 for each threshold that calls some row positive. loss_func: one of LOSSES, a function
+        of the count columns tp, fp, fn, tn, or one of the label and 0/1 prediction columns that gives an aggregate of any
+        kind, which costs a pass for each OWN thresholds. Labels of one class: a single row at 0.5, fraction 0, scored there."""
         require_frame(df)
         require_columns(df, label, prediction)
         loss = loss_func or "balanced_accuracy"
-        value = loss(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))) if callable(loss) else _score(loss)
+        own = callable(loss) and len(inspect.signature(loss).parameters) == 2
+        value = F.lit(None).cast("double") if own else loss(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))) if callable(loss) else _score(loss)
         y, p = F.col(f"`{label}`").cast("double"), F.col(f"`{prediction}`").cast("double")
         rows = df.select(y.alias("y"), p.alias("p"))
         r = rows.agg(F.min("p"), F.max("p"), F.avg("y"), F.count_distinct("y"), F.sum((~F.col("y").isin(0.0, 1.0)).cast("int")), F.count("y"), F.count("p"), F.count(F.lit(1))).first()
@@ -52,7 +59,9 @@ class ThreshTuner:
             raise ValueError("there are no rows")
         if classes < 2:
             one = rows.agg(*self._counts(F.col("p") > 0.5)).withColumn("threshold", F.lit(0.5))
-            self.result = one.select("threshold", value.alias("score"), F.lit(0.0).alias("fraction_of_1"))
+            if own:
+                one = rows.agg(loss(F.col("y"), (F.col("p") > 0.5).cast("int")).cast("double").alias("score")).withColumn("threshold", F.lit(0.5))
+            self.result = one.select("threshold", F.col("score") if own else value.alias("score"), F.lit(0.0).alias("fraction_of_1"))
             return self.result
         if self.auto:
             low, high = max(0.0, self.label_rate * 0.8), min(1.0, self.label_rate * 1.2)
@@ -70,9 +79,21 @@ class ThreshTuner:
         s = grid.join(bins, "k", "left").select("k", F.sum(F.coalesce("n", F.lit(0))).over(above).alias("n"), F.sum(F.coalesce("pos", F.lit(0.0))).over(above).alias("tp"))
         positive = self.label_rate * n
         s = s.filter("n > 0").select(edge(F.col("k")).alias("threshold"), (F.col("n") / F.lit(float(n))).alias("fraction_of_1"), "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.lit(float(round(positive))) - F.col("tp")).alias("fn"), (F.lit(float(n - round(positive))) - (F.col("n") - F.col("tp"))).alias("tn"))
-        self.result = s.select("threshold", value.alias("score"), "fraction_of_1")
+        self.result = self._own(rows, s.select("threshold", "fraction_of_1"), loss) if own else s.select("threshold", value.alias("score"), "fraction_of_1")
         return self.result
 
+    @staticmethod
+    def _own(rows: DataFrame, grid: DataFrame, loss) -> DataFrame:
+        """Scores that don't follow from counts: the aggregate for each threshold, OWN of them in a pass."""
+        found, at = grid.orderBy("threshold").collect(), 0  # a row for each threshold
+        out = []
+        while at < len(found):
+            part = found[at : at + OWN]
+            row = rows.agg(*(loss(F.col("y"), (F.col("p") > F.lit(r.threshold)).cast("int")).cast("double").alias(f"s{k}") for k, r in enumerate(part))).first()
+            out += [(r.threshold, v, r.fraction_of_1) for r, v in zip(part, row)]
+            at += OWN
+        return rows.sparkSession.createDataFrame(out, "threshold double, score double, fraction_of_1 double")
+
     @staticmethod
     def _counts(said: Column) -> list[Column]:
         y = F.col("y") == 1
