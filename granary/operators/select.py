@@ -87,34 +87,49 @@ class FeatureSelector:
     def _assembled(self, df: DataFrame, features: list[str]) -> DataFrame:
         return VectorAssembler(inputCols=features, outputCol="x").transform(df).select("x", "y", "fold")
 
-    def _scored(self, df: DataFrame, features: list[str], kind: str, folds: int) -> float:
+    def _fitted(self, df: DataFrame, features: list[str], kind: str, folds: int, k: int | None):
+        """A model of the rows outside fold k, and its score on fold k; k None: of all rows, without a score."""
+        data = self._assembled(df, features)
+        if k is None:
+            return self._estimator(kind).fit(data), None
         evaluator, sign = self._evaluator()
-        data, total = self._assembled(df, features), 0.0
-        for k in range(folds):
-            fold = F.pmod(F.col("fold"), F.lit(folds)) == k
-            total += sign * evaluator.evaluate(self._estimator(kind).fit(data.filter(~fold)).transform(data.filter(fold)))
-        return total / folds
-
-    def _importance(self, df: DataFrame, features: list[str], kind: str) -> list[float]:
-        model = self._estimator(kind).fit(self._assembled(df, features))
+        fold = F.pmod(F.col("fold"), F.lit(folds)) == k
+        model = self._estimator(kind).fit(data.filter(~fold))
+        return model, sign * evaluator.evaluate(model.transform(data.filter(fold)))
+
+    def _scored(self, df: DataFrame, features: list[str], kind: str, folds: int) -> float:
+        return sum(self._fitted(df, features, kind, folds, k)[1] for k in range(folds)) / folds
+
+    def _weights(self, model, kind: str) -> list[float]:
         if kind == "forest":
             return model.featureImportances.toArray().tolist()
         if self.objective == "regression":
             return [abs(v) for v in model.coefficients.toArray()]
         return abs(model.coefficientMatrix.toArray()).sum(0).tolist()
 
-    def _eliminated(self, df: DataFrame, features: list[str], kind: str) -> dict:
-        best, left = None, list(features)
+    def _ranked(self, df: DataFrame, features: list[str], kind: str, least: int, k: int | None) -> list[tuple[list[str], float | None]]:
+        """The sets of an elimination down to `least` features, ranked by rows outside fold k alone, each with its score there."""
+        left, out = list(features), []
         while True:
-            score = self._scored(df, left, kind, self.cv)
-            if best is None or score >= best["score"]:
-                best = {"score": score, "features": list(left)}
-            if len(left) <= max(1, self.least):
-                return best
-            weight = dict(zip(left, self._importance(df, left, kind)))
-            drop = sorted(left, key=lambda f: weight[f])[: min(self.step, len(left) - max(1, self.least))]
+            model, score = self._fitted(df, left, kind, self.cv, k)
+            out.append((left, score))
+            if len(left) <= least:
+                return out
+            weight = dict(zip(left, self._weights(model, kind)))
+            drop = set(sorted(left, key=lambda f: weight[f])[: min(self.step, len(left) - least)])
             left = [f for f in left if f not in drop]
 
+    def _eliminated(self, df: DataFrame, features: list[str], kind: str) -> dict:
+        """Each fold eliminates by its own training rows; the number of features with the best mean score, the fewest on ties,
+        is what an elimination by all rows then goes down to."""
+        least = max(1, min(self.least, len(features)))
+        total: dict[int, float] = {}
+        for k in range(self.cv):
+            for left, score in self._ranked(df, features, kind, least, k):
+                total[len(left)] = total.get(len(left), 0.0) + score / self.cv
+        number = max(total, key=lambda n: (total[n], -n))
+        return {"score": total[number], "features": self._ranked(df, features, kind, number, None)[-1][0]}
+
     def fit_transform(self, df: DataFrame, target: str, key: str | None = None) -> DataFrame:
         require_frame(df)
         require_columns(df, target)
