@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, shared_dir, text_of, written
@@ -19,6 +19,9 @@ from .tokens import forget
 TILE = (1024, 16_384)
 #: Shingle sets that a tile holds where links are confirmed.
 SETS = 512
+#: Least hashes of a shingle set, each under an order of its own, of which similar sets are to share one: sets alike in s share
+#: none with a chance of (1 - s) ** MINIMA.
+MINIMA = 8
 #: Rows of a table that is broadcast; larger ones are joined.
 BROADCAST_ROWS = 100_000
 #: Sides of the blocks within which one tile pair is compared at a time; a block's differences stay in a core's cache.
@@ -36,6 +39,8 @@ def _bit_table() -> np.ndarray:
 
 _BITS = _bit_table()
 _OFFSET = (np.arange(8) * 256).astype(np.int64)
+#: Odd factors and masks, from one generator: each pair orders the hashes anew.
+_ORDERS = np.random.default_rng(17).integers(0, 1 << 63, (2, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -69,15 +74,24 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
+def minima(hashes: np.ndarray) -> list[int]:
+    """For each of MINIMA orders the shingle hash that comes first, with the order's number mixed in; an empty set has none."""
+    if not len(hashes):
+        return []
+    with np.errstate(over="ignore"):
+        least = ((hashes[:, None] ^ _ORDERS[0]) * _ORDERS[1]).min(axis=0)
+        return ((least + np.arange(MINIMA, dtype=np.uint64)) * _ORDERS[0]).view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool = False, sets: bool = False) -> DataFrame:
     """(doc_id, n, bits): shingles, and `lanes` big-endian 64-bit words, of each row; null text counts as empty.
 
-    With `distinct`, repeated shingles count once, and `mark` is a digest of the set; with `sets`, bits goes on with the set's
-    hashes in order.
+    With `distinct`, repeated shingles count once, `mark` is a digest of the set and `least` its minima; with `sets`, bits goes
+    on with the set's hashes in order.
     """
     import xxhash
 
-    schema = "doc_id long, n long, bits binary" + (", mark binary" if distinct else "")
+    schema = "doc_id long, n long, bits binary" + (", mark binary, least array<long>" if distinct else "")
     from pyspark.sql.types import StructType
 
     out = arrow_schema(StructType.fromDDL(schema))
@@ -93,7 +107,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, distinct: bool
                     h = np.unique(h) if distinct else h
                     bits = np.array(fingerprint(h, lanes), ">u8").tobytes()
                     whole = h.astype(">u8").tobytes() if distinct else b""
-                    mark = (xxhash.xxh3_128_digest(whole),) if distinct else ()
+                    mark = (xxhash.xxh3_128_digest(whole), [] if sets else minima(h)) if distinct else ()
                     made.append((doc, len(h), bits + whole if sets else bits, *mark))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
@@ -206,31 +220,54 @@ def _cells_by_bits(nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     word = F.conv(F.hex(F.col("bits")), 16, -10).cast("long")
     cells = F.array(*(F.xxhash64(F.lit(k), F.col("word").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)))
-    return nodes.withColumn("word", word).select(F.explode(cells).alias("cell"), "id", "bits").withColumn("next", F.lit(None).cast("long"))
+    return nodes.withColumn("word", word).select(F.explode(cells).alias("cell"), "id", "bits", F.bit_count("word").alias("v"))
+
+
+#: A size's logarithm in such steps orders the rows of a cell of sets.
+STEP = 64
+
 
+def _size(similarity: float):
+    """The order of sets by size, and how far apart sets alike in `similarity` may lie in it."""
+    return F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) * STEP).cast("int").alias("v"), math.ceil(STEP * math.log(1 / similarity)) + 1
 
-def _cells_by_length(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Rows (cell, id, bits, next): sets alike in `similarity` are of one band of sizes or of neighbouring ones."""
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1 / similarity))
-    return nodes.select(band.alias("cell"), "id", "bits", (band + 1).alias("next"))
 
+def _cells_by_minima(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Rows (cell, id, bits, v): sets share a cell for each order in which the same shingle comes first."""
+    return nodes.select(F.explode("least").alias("cell"), "id", "bits", _size(similarity)[0])
 
-def _tiles(cells: DataFrame, tile: int) -> DataFrame:
-    """Rows (pair, side, id, bits): each cell is dealt to tiles of about `tile` rows, and each tile pair of a cell, and of a
-    cell with its next one, gets the rows of both. A tile that meets itself has side 0 only."""
-    count = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    own = cells.join(count, "cell")
-    own = own.withColumn("t", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
-    one = F.lit(1)
-    within = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.xxhash64("cell", "cell", F.least(k, F.col("t")), F.greatest(k, F.col("t"))).alias("pair"), F.when(k < F.col("t"), one).otherwise(0).alias("side")))
-    out = own.select(F.explode(within).alias("x"), "id", "bits").select("x.*", "id", "bits")
-    if cells.filter(F.col("next").isNotNull()).isEmpty():
-        return out
-    more = count.select(F.col("cell").alias("next"), F.col("tiles").alias("others"))
-    up = own.join(more, "next").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: F.struct(F.xxhash64("cell", "next", F.col("t"), k).alias("pair"), F.lit(0).alias("side")))).alias("x"), "id", "bits")
-    less = count.select((F.col("cell") + 1).alias("cell"), F.col("tiles").alias("others"))
-    down = own.join(less, "cell").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: F.struct(F.xxhash64(F.col("cell") - 1, "cell", k, F.col("t")).alias("pair"), one.alias("side")))).alias("x"), "id", "bits")
-    return out.unionByName(up.select("x.*", "id", "bits")).unionByName(down.select("x.*", "id", "bits"))
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _tiles(cells: DataFrame, tile: int, reach: int, folder: str, name: str) -> DataFrame:
+    """Rows (pair, side, id, bits) from rows (cell, id, bits, v): each tile pair that is to be compared gets the rows of both.
+
+    A cell of up to `tile` rows is one tile; a row alone in its cell goes. The rows of a larger cell are ordered by v and cut
+    into tiles, and only tile pairs whose ranges of v lie within `reach` of each other are made. A tile that meets itself has
+    side 0 only.
+    """
+    size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
+    own = written(cells.join(size, "cell"), f"{name}-cells", folder)
+    one = own.filter(F.col("total") <= tile).select(F.col("cell").alias("pair"), F.lit(0).alias("side"), "id", "bits")
+    large = own.filter(F.col("total") > tile)
+    if large.isEmpty():
+        return one
+    # A row for each cell and v, so a cell's window is as long as v has values.
+    span = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    runs = large.groupBy("cell", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(span), F.lit(0)))
+    runs = written(runs, f"{name}-runs", folder)
+    ranges = runs.select("cell", "v", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("n") - 1) / tile))).alias("t"))
+    ranges = ranges.groupBy("cell", "t").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    other = ranges.select(F.col("cell").alias("c"), F.col("t").alias("u"), F.col("low").alias("low_u"))
+    pairs = ranges.join(other, (F.col("cell") == F.col("c")) & (F.col("t") <= F.col("u")) & (F.col("low_u") - F.col("high") <= reach)).select("cell", "t", "u", F.xxhash64("cell", "t", "u").alias("pair"))
+    pairs = written(pairs, f"{name}-pairs", folder)
+    sides = pairs.select("cell", "t", "pair", F.lit(0).alias("side")).unionByName(pairs.filter("t < u").select("cell", F.col("u").alias("t"), "pair", F.lit(1).alias("side")))
+    place = F.floor((F.col("start") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("n"))) / tile)
+    placed = large.join(_small(runs), ["cell", "v"]).select("cell", place.alias("t"), "id", "bits")
+    return one.unionByName(placed.join(_small(sides), ["cell", "t"]).select("pair", "side", "id", "bits"))
 
 
 def _links(tiles: DataFrame, radius: int, lead: int, lanes: int = 0, similarity: float = 0.0) -> DataFrame:
@@ -312,24 +349,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
 
     Rows are linked where their fingerprints differ in `radius` bits or fewer; equal fingerprints are compared once. Tiles
     of distinct fingerprints are compared exactly by exclusive-or and bit counts, and block pairs whose bit counts differ by
-    more than the radius are skipped. Which fingerprints can meet at all is settled before: by whole bit blocks, which a
-    pair within a small radius must share (no link is lost), or, with `similarity`, by bands of shingle counts, which a
-    similar pair must share or adjoin. With `similarity` a link within the radius is proposed only: shingles count once, and
-    within each component of proposals the links are confirmed by the shingle sets (of 64-bit hashes), Jaccard `similarity`
-    or more. Cells of any size are dealt to tiles, so none lands in one task. A task hands on a
-    spanning forest of its links, never all pairs. Null doc_id: the row is no one's smallest but keeps its group's
+    more than the radius are skipped; tile pairs of a large cell whose bit counts, or set sizes, can't be those of a pair
+    aren't made. Which fingerprints can meet at all is settled before: by whole bit blocks, which a pair within a small
+    radius must share (no link is lost), or, with `similarity`, by the shingles that come first in MINIMA orders, of which
+    a pair alike in s shares none with a chance of (1 - s) ** MINIMA. With `similarity` a link within the radius is proposed
+    only: shingles count once, and within each component of proposals the links are confirmed by the shingle sets (of 64-bit
+    hashes), Jaccard `similarity` or more. Cells of any size are dealt to tiles, so none lands in one task. A task hands on
+    a spanning forest of its links, never all pairs. Null doc_id: the row is no one's smallest but keeps its group's
     component (null if all are null). Repeated rows: all are kept. Empty table: empty result.
     """
     folder = shared_dir(docs.sparkSession)
     exact = similarity is not None
     marks = written(fingerprints(docs, words, lanes, distinct=exact), "marks", folder)
     keys = ["mark"] if exact else ["bits"]
-    more = [F.first(c).alias(c) for c in ("bits", "n") if exact]
+    more = [F.first(c).alias(c) for c in ("bits", "n", "least") if exact]
     nodes = written(marks.groupBy(*keys).agg(F.min("doc_id").alias("id"), *more).filter("id is not null"), "nodes", folder)
     number = nodes.count()
     tile = tile or min(TILE[1], max(TILE[0], int(8 * math.sqrt(number))))
-    cells = _cells_by_length(nodes, similarity) if exact else _cells_by_bits(nodes, blocks_for(number, radius), radius)
-    links = written(_links(_tiles(cells, tile), radius, 3), "found", folder)
+    cells = _cells_by_minima(nodes, similarity) if exact else _cells_by_bits(nodes, blocks_for(number, radius), radius)
+    tiles = _tiles(cells, tile, _size(similarity)[1] if exact else radius, folder, "near")
+    links = written(_links(tiles, radius, 3), "found", folder)
     found = written(components(links), "components", folder)
     if exact:
         links = written(_confirmed(docs, nodes, found, words, lanes, radius, similarity), "confirmed", folder)
@@ -342,14 +381,15 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, words: in
     """Links (a, b) within the proposed components whose shingle sets are alike in `similarity`; sets are built anew, for the
     components' rows alone."""
     folder = shared_dir(docs.sparkSession)
-    members = written(nodes.join(proposed.withColumnRenamed("node", "id"), "id").select("id", "mark", "component"), "members", folder)
+    members = written(nodes.join(proposed.withColumnRenamed("node", "id"), "id").select("id", "n", "mark", "component"), "members", folder)
     ids = members.select("id").distinct()
     ids = F.broadcast(ids) if members.count() <= BROADCAST_ROWS else ids
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = fingerprints(own, words, lanes, distinct=True, sets=True).withColumnRenamed("doc_id", "id")
+    sets = fingerprints(own, words, lanes, distinct=True, sets=True).select(F.col("doc_id").alias("id"), "mark", "bits")
     sets = written(sets.join(members, ["id", "mark"]).dropDuplicates(["id", "mark"]), "sets", folder)
-    cells = sets.select(F.col("component").alias("cell"), "id", "bits", F.lit(None).cast("long").alias("next"))
-    return _links(_tiles(cells, SETS), radius, 3, lanes, similarity)
+    v, reach = _size(similarity)
+    cells = sets.select(F.col("component").alias("cell"), "id", "bits", v)
+    return _links(_tiles(cells, SETS, reach, folder, "sets"), radius, 3, lanes, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:
