@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, arrow_map, text_of, train_rows
 
-#: Rows that the classifier is fitted on at most: trusted positives, unlabelled texts, labelled rows for the final scale.
-POSITIVES, UNLABELLED, SCALE = 6000, 12_000, 4000
+#: Rows that the classifier is fitted on at most: trusted positives, unlabelled texts.
+POSITIVES, UNLABELLED = 6000, 12_000
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 
 _CLASS = np.full(256, 5)
@@ -126,48 +126,49 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hid
     return model
 
 
-def logistic(z: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through labels y at scores z; y of one class only: the curve as it is."""
-    if len(y) < 10 or y.min() == y.max():
-        return 1.0, 0.0
-    x, w = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
+def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:
+    """Slope and offset of a logistic curve through raw scores, from positives, unlabelled texts and the prior alone: the least
+
+        E_u[log(1 + exp(f))] - prior * E_p[f],  f = slope * z + offset
+
+    is the logistic risk of the unlabelled texts, if a share `prior` of them is like the positives, and is convex in both.
+    Where it is least, the mean score of the unlabelled is the prior."""
+    centre, spread = unlabelled.mean(), unlabelled.std() + 1e-9
+    u, p = (np.stack([(z - centre) / spread, np.ones_like(z)], 1) for z in (unlabelled, positive))
+    w = np.array([1.0, math.log(prior / (1 - prior))])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - 1e-3 * w)
-        w = w + step * min(1.0, 2 / max(1e-9, np.abs(step).max()))
-    return float(w[0]), float(w[1])
-
-
-def _sample(docs: DataFrame, ids: DataFrame | None, limit: int, role: str) -> DataFrame:
-    """At most `limit` texts, by a hash of their doc_id, with their features and label."""
-    if ids is not None:
-        # At most `limit` ids, so they may go to every task.
-        docs = docs.join(F.broadcast(ids.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)), docs["doc_id"] == F.col("label_id"))
-    else:
-        few = docs.select("doc_id", F.lit(None).cast("int").alias("label")).filter("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(limit)
-        docs = docs.select("doc_id", "text").join(F.broadcast(few.select(F.col("doc_id").alias("label_id"), "label")), docs["doc_id"] == F.col("label_id"))
-    return docs.select(F.lit(role).alias("role"), "label", text_of().alias("text"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, scale: int = SCALE) -> Model:
-    """Trains on at most `positives` texts labelled 1, `unlabelled` texts of which no label is used, and sets the final scale
-    on `scale` labelled ones. Labels come only from rows that aren't held out. Samples are chosen by a hash of doc_id. Without
-    positives, every text scores 0.5."""
+        s = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
+        gradient = u.T @ s / len(u) - prior * p.mean(0) + ridge * w
+        step = np.linalg.solve((u * (s * (1 - s))[:, None]).T @ u / len(u) + ridge * np.eye(2), gradient)
+        w = w - step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
+    return (float(w[0] / spread), float(w[1] - w[0] * centre / spread)) if w[0] > 0 else (1.0, 0.0)
+
+
+def _sample(docs: DataFrame, ids: DataFrame, limit: int, role: str) -> DataFrame:
+    """The texts of at most `limit` of the ids, by their hash."""
+    # At most `limit` ids, so they may go to every task.
+    few = F.broadcast(ids.orderBy(F.xxhash64("label_id", F.lit(role)), "label_id").limit(limit))
+    return docs.join(few, docs["doc_id"] == F.col("label_id")).select(F.lit(role).alias("role"), "doc_id", text_of().alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Trains on at most `positives` texts labelled 1 and `unlabelled` texts of which no label is used; the class prior, and
+    with it the final scale, come from the same two. Labels of rows that are held out, and labels 0, aren't used. Samples
+    are chosen by a hash of doc_id; of several rows with one doc_id one counts. Without positives, every text scores 0.5."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    known = known.filter(train_rows(F.col("doc_id"), FOLDS, HELD_OUT)).select(F.col("doc_id").alias("label_id"), F.col("label").cast("int"))
+    known = known.filter(train_rows(F.col("doc_id"), FOLDS, HELD_OUT)).filter("label = 1").select(F.col("doc_id").alias("label_id"))
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    negative = _sample(docs, known.filter("label = 0"), scale // 2, "scale")
-    parts = _sample(docs, known.filter("label = 1"), positives, "positive").unionByName(_sample(docs, None, unlabelled, "unlabelled")).unionByName(negative)
+    every = docs.select(F.col("doc_id").alias("label_id")).distinct()
+    parts = _sample(docs, known, positives, "positive").unionByName(_sample(docs, every, unlabelled, "unlabelled"))
 
     def rows(c: dict) -> Iterator[tuple]:
-        return [(r, y, features(t)) for r, y, t in zip(c["role"], c["label"], c["text"])]
+        return [(r, d, features(t)) for r, d, t in zip(c["role"], c["doc_id"], c["text"])]
 
-    found = arrow_map(parts, rows, "role string, label int, x array<double>").toPandas()
+    found = arrow_map(parts.withColumn("doc_id", F.col("doc_id").cast("long")), rows, "role string, doc_id long, x array<double>").groupBy("role", "doc_id").agg(F.min("x").alias("x")).toPandas()
     found["key"] = found.x.map(tuple)
     found = found.sort_values(["role", "key"])  # the same model however rows arrive
     of = lambda role: np.array(found.x[found.role == role].tolist()).reshape(-1, len(features("")))
-    positive, web, low = of("positive"), of("unlabelled"), of("scale")
+    positive, web = of("positive"), of("unlabelled")
     if not len(positive) or not len(web):
         return Model(np.zeros(len(features(""))), np.ones(len(features(""))), [(np.zeros((len(features("")), 1)), np.zeros(1))], (1.0, 0.0), 0.5)
     rng = np.random.default_rng(5)
@@ -176,17 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     first = train(positive[:half], web[: max(1, len(web) // 2)], None)
     prior = class_prior(first.raw(positive[half:] if len(positive) > half else positive), first.raw(web[len(web) // 2 :]))
     model = train(positive, web, prior)
-    # The scale: as many labelled 1 as 0 weigh the same, so scores about 0.5 are undecided.
-    high = positive[: scale // 2]
-    z = np.concatenate([model.raw(high), model.raw(low)])
-    model.scale = logistic(z, np.concatenate([np.ones(len(high)), np.zeros(len(low))]))
-    if model.scale[0] <= 0:
-        model.scale = (1.0, 0.0)
+    model.scale = calibrated(model.raw(positive), model.raw(web), prior)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; null text counts as empty. A null doc_id isn't held out."""
+    """doc_id, held_out, score, predicted for each row; null text counts as empty. A null doc_id isn't held out. Repeated rows
+    are each scored, whole texts however long, and other columns, whatever their names, are left; an empty table gives an
+    empty result."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(c: dict) -> Iterator[tuple]:

@@ -178,14 +178,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, stems: int = S
     def measured(c: dict) -> Iterator[tuple]:
         return [(doc, y, spread_model.value.evidence(text)) for doc, y, text in zip(c["doc_id"], c["label"], c["text"])]
 
-    found = sorted((r.doc_id, r.label, r.x) for r in arrow_map(known, measured, "doc_id long, label int, x array<double>").collect())
+    # Of several rows with one doc_id one counts, so no more come than were sampled.
+    few = arrow_map(known, measured, "doc_id long, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    found = sorted((r.doc_id, r.label, r.x) for r in few.collect())
     if found:
         model = Model(model.ordinary, model.toxic, calibrated(np.array([r[2] for r in found]), np.array([r[1] for r in found], float)))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; null text counts as empty. A null doc_id isn't held out."""
+    """doc_id, held_out, score, predicted for each row; null text counts as empty. A null doc_id isn't held out. Repeated rows
+    are each scored, whole texts however long, and other columns, whatever their names, are left; an empty table gives an
+    empty result."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(c: dict) -> Iterator[tuple]:
