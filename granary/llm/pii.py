@@ -97,6 +97,13 @@ def features(token: str) -> list[float]:
     return [1.0, float("@" in token), float("@" in token and "." in token.rpartition("@")[2]), digits / n, float(digits == n), float(digits >= 5), float(9 <= digits <= 15), float(12 <= digits <= 19), float(token.count(".") == 3), float(token[0] == "+"), float("-" in token), float(any(c.isalpha() for c in token)), float(n <= 4), float(_luhn(_digits(token)[:40]) if digits > 11 else 0)]
 
 
+def possible(token: str) -> list[bool]:
+    """Labels that a token may have at all: an email holds an @, an address four digits and three marks between, a card 12
+    digits, a phone number 7."""
+    digits = len(_digits(token))
+    return [True, "@" in token, digits >= 4 and sum(c in ".:-_" for c in token) >= 3, digits >= 12, digits >= 7]
+
+
 def same_key(token: str) -> str:
     """Tokens with one key are taken for the same: letters in one case, and of mostly digits the digits alone."""
     digits = _digits(token)
@@ -109,10 +116,13 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, x: np.ndarray, observed: list[int | None], edges: list[tuple[int, int, int]], rounds: int = 12) -> np.ndarray:
-        """Loopy belief propagation: edges are (i, j, 0 chain or 1 skip). Observed nodes keep their label. Messages are damped
-        by half, so that loops settle; on a tree the result is exact once they have crossed it."""
+    def marginals(self, x: np.ndarray, observed: list[int | None], edges: list[tuple[int, int, int]], rounds: int = 200, can: np.ndarray | None = None) -> np.ndarray:
+        """Loopy belief propagation: edges are (i, j, 0 chain or 1 skip). Observed nodes keep their label, others get none
+        that `can` rules out. Messages are damped by half, so that loops settle, and go on until they change no more; on a
+        tree the result is exact once they have crossed it."""
         local = x @ self.unary
+        if can is not None:
+            local = np.where(can, local, -30.0)
         for k, y in enumerate(observed):
             if y is not None:
                 local[k] = -30.0
@@ -154,12 +164,16 @@ def graph(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]
 
 
 def covered(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int | None]:
-    """The label of each token that lies in a base span, else None. Of several kinds the first listed one counts."""
-    out: list[int | None] = []
-    spans = sorted((a, b, k) for a, k, b in base)
-    for a, b in tokens:
-        kinds = [k for s, e, k in spans if s < b and a < e]
-        out.append(1 + min(kinds) if kinds else None)
+    """The label of each token that lies in a base span, else None. Of several kinds the first listed one counts. Tokens come
+    in order, and spans of one kind don't overlap, so each is passed once."""
+    out: list[int | None] = [None] * len(tokens)
+    for kind in reversed(range(len(KINDS))):
+        spans, at = sorted((a, b) for a, k, b in base if k == kind), 0
+        for n, (a, b) in enumerate(tokens) if spans else ():
+            while at < len(spans) and spans[at][1] <= a:
+                at += 1
+            if at < len(spans) and spans[at][0] < b:
+                out[n] = 1 + kind
     return out
 
 
@@ -169,51 +183,61 @@ def additional(text: str, base: list[tuple[int, int, int]], field: Field, sure:
     observed = covered(tokens, base)
     if all(y is not None for y in observed):
         return []
-    edges = graph(text, tokens)
-    marginal = field.marginals(np.array([features(text[a:b]) for a, b in tokens]), observed, edges)
+    edges, names = graph(text, tokens), [text[a:b] for a, b in tokens]
+    marginal = field.marginals(np.array(list(map(features, names))), observed, edges, can=np.array(list(map(possible, names))))
     return [(a, int(m.argmax()) - 1, b) for (a, b), y, m in zip(tokens, observed, marginal) if y is None and m.argmax() and m.max() >= sure]
 
 
-def fit(docs: DataFrame, sample: int = 2000, looked: int = 80_000, tokens: int = 40_000, steps: int = 300) -> Field:
-    """Trains the field on what the base patterns label in a sample: about `looked` documents are drawn by a hash of their
-    text, and of them, at most `sample` that hold base spans, and `tokens` of their tokens. Weights: logistic regression for single tokens, smoothed agreement of
-    neighbours and of repeated tokens for the potentials. A corpus without personal data gives a field that adds nothing.
+def neighbours(labels: list[int], edges: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each token how many of its neighbours have each label: by chain, then by skip edges."""
+    out = np.zeros((len(labels), 2 * LABELS))
+    for i, j, kind in edges:
+        out[i, LABELS * kind + labels[j]] += 1
+        out[j, LABELS * kind + labels[i]] += 1
+    return out
+
+
+def fit(docs: DataFrame, looked: int = 80_000, tokens: int = 40_000, steps: int = 400) -> Field:
+    """Trains the field on what the base patterns label: about `looked` documents are drawn by a hash of their text, and of
+    the tokens of those that hold base spans, wherever they stand, the `tokens` with the least hashes are learned from.
+
+    All potentials are fitted together, by the pseudo-likelihood of each token's label given its neighbours'. As the labels
+    follow from what a token looks like, half of the tokens show their neighbours only, so that these count too. A token
+    outside all base spans with the key of one inside isn't learned from: it is what the field is to find. A corpus
+    without personal data gives a field that adds nothing.
     """
 
     def rows(c: dict) -> Iterator[tuple]:
         for text in c["text"]:
             if base := find(text):
                 found = candidates(text)
-                labels = [y or 0 for y in covered(found, base)]
-                pairs = [(labels[i], labels[j], kind) for i, j, kind in graph(text, found)]
-                flat = [v for i, (a, b) in enumerate(found[:400]) for v in (labels[i], *features(text[a:b]))]
-                yield int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:7], "big"), flat, [9 * LABELS * k + LABELS * a + b for a, b, k in pairs[:400]]
+                known = covered(found, base)
+                keys = [same_key(text[a:b]) for a, b in found]
+                inside = {k for k, y in zip(keys, known) if y}
+                labels, edges = [y or 0 for y in known], graph(text, found)
+                near, seed = neighbours(labels, edges), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                for i, (a, b) in enumerate(found):
+                    if labels[i] or keys[i] not in inside:
+                        tie = int.from_bytes(hashlib.blake2b(seed + i.to_bytes(8, "big"), digest_size=7).digest(), "big")
+                        yield tie, [labels[i], *features(text[a:b]), *near[i].tolist()]
 
     share = looked / max(looked, docs.count())
     drawn = docs.select(text_of().alias("text")).filter((F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) / (1 << 20)) < share)
-    found = arrow_map(drawn, rows, "tie long, tokens array<double>, pairs array<int>").orderBy("tie").limit(sample).collect()
-    data = np.array([v for r in found for v in r.tokens]).reshape(-1, 1 + FEATURES)[:tokens]
-    unary = np.zeros((FEATURES, LABELS))
-    unary[0, 0] = 4.0
-    if len(data):
+    found = arrow_map(drawn, rows, "tie long, token array<double>").orderBy("tie", "token").limit(tokens).collect()
+    w = np.zeros((FEATURES + 2 * LABELS, LABELS))
+    w[0, 0] = 4.0
+    if found:
+        data = np.array([r.token for r in found])
         y, x = data[:, 0].astype(int), data[:, 1:]
-        hot = np.eye(LABELS)[y]
+        x[::2, 1:FEATURES] = 0.0
+        hot, moment = np.eye(LABELS)[y], np.zeros_like(w)
         for _ in range(steps):
-            p = np.exp(x @ unary - np.logaddexp.reduce(x @ unary, axis=1, keepdims=True))
-            unary += 2.0 * (x.T @ (hot - p) / len(x) - 1e-4 * unary)
-    tables = []
-    for kind in (0, 1):
-        count = np.full((LABELS, LABELS), 0.5)
-        for r in found:
-            for v in r.pairs:
-                if v // (9 * LABELS) == kind:
-                    a, b = divmod(v % (9 * LABELS), LABELS)
-                    count[a, b] += 1
-        count = count + count.T if kind else count
-        joint = count / count.sum()
-        tables.append(np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True))))
-    # Repeated tokens pull towards one label at least.
-    return Field(unary, tables[0], tables[1] + 2.0 * np.eye(LABELS))
+            z = x @ w
+            p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
+            moment = 0.9 * moment + x.T @ (hot - p) / len(x) - 1e-4 * w
+            w += 0.2 * moment
+    chain, skip = w[FEATURES : FEATURES + LABELS], w[FEATURES + LABELS :]
+    return Field(w[:FEATURES], (chain + chain.T) / 2, (skip + skip.T) / 2)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
