@@ -22,10 +22,12 @@ RAW = frozenset("script style noscript template iframe svg textarea title object
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^>]*+>)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--(?:-?>|.*?--!?>|.*)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?:(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^>]*+>)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+#: Of RAW, those whose inside is text up to their own end, or the page's; the others nest, and one without an end is but a tag.
+PLAIN = frozenset("script style textarea title iframe noscript".split())
+_RAW_TAG = {name: re.compile(rf"""<(/?){name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""" if name not in PLAIN else rf"<(/){name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 # Stems of names that sites give to blocks, by what the blocks hold.
 NAMES = {
@@ -43,7 +45,7 @@ NAMES = {
 _NAMES = {kind: frozenset(words.split()) for kind, words in NAMES.items()}
 _GROUPS = {t: g for g, ts in {
     "article": "article main", "box": "div section center", "p": "p blockquote pre", "head": "h1 h2 h3 h4 h5 h6", "list": "ul ol li dl dt dd menu", "nav": "nav", "header": "header hgroup", "footer": "footer",
-    "aside": "aside", "form": "form fieldset button legend input", "table": "table tbody thead tr td th caption", "figure": "figure figcaption", "root": "html body #page", "dialog": "dialog details summary",
+    "aside": "aside", "form": "form fieldset button legend input", "table": "table tbody thead tr td th caption", "figure": "figure figcaption", "root": "html body #page", "dialog": "dialog", "details": "details summary",
 }.items() for t in ts.split()}
 FEATURES = ["bias", *(f"tag {g}" for g in [*dict.fromkeys(_GROUPS.values()), "other"]), *(f"name {k}" for k in NAMES), "links", "much text", "sentences", "few words"]
 _AT = {name: k for k, name in enumerate(FEATURES)}
@@ -66,9 +68,11 @@ def parse(page: str) -> list[Node]:
 
     Inline elements belong to their block, and a line break within one is white space. An open p ends where another block
     begins, an open li at the next, and a closing tag ends what is open inside it; one without a start is nothing. Comments,
-    scripts, styles and the like, and a tag that the page's end cuts off, are markup.
+    scripts, styles and the like, and a tag that the page's end cuts off, are markup. Blocks may nest as deep as they like:
+    the places of open elements are kept by name, so that closing one takes the time of what it closes.
     """
     nodes, stack, text, links = [Node("#page")], [0], [], 0
+    opened: dict[str, list[int]] = {}
     number = at = 0
 
     def flush() -> None:
@@ -83,15 +87,32 @@ def parse(page: str) -> list[Node]:
                 node.marks += joined.count(". ") + joined.count(", ") + joined.endswith((".", "!", "?"))
                 number += 1
 
+    def deepest(names: tuple[str, ...]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
     def close(names: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[depth]].tag
-            if tag in names:
-                flush()
-                del stack[depth:]
-                return
-            if tag in stop:
-                return
+        depth = deepest(names)
+        if depth and depth >= deepest(stop):
+            flush()
+            for k in stack[depth:]:
+                opened[nodes[k].tag].pop()
+            del stack[depth:]
+
+    ends: dict[str, dict[int, int]] = {}
+
+    def skipped(name: str, less: int, at: int) -> int:
+        """Where an element of RAW whose tag spans less to at ends."""
+        if name in PLAIN:
+            found = _RAW_TAG[name].search(page, at)
+            return found.end() if found else size
+        if name not in ends:  # all of them are matched once
+            ends[name], starts = {}, []
+            for m in _RAW_TAG[name].finditer(page, less):
+                if not m[1]:
+                    starts += [] if m[0].endswith("/>") else [m.start()]
+                elif starts:
+                    ends[name][starts.pop()] = m.end()
+        return ends[name].get(less, at)
 
     size = len(page)
     while at < size:
@@ -132,8 +153,7 @@ def parse(page: str) -> list[Node]:
                 text.append(" ")
             continue
         if name in RAW and name != "head":
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else size
+            at = skipped(name, less, at)
             continue
         if name == "head":
             continue
@@ -148,9 +168,8 @@ def parse(page: str) -> list[Node]:
         attrs = m["attrs"] or ""
         names = " ".join(next(v for v in x[1:] if v or v == x[3]) for x in _ATTR.findall(attrs)) if "=" in attrs else ""
         nodes.append(Node(name, names.lower(), stack[-1]))
+        opened.setdefault(name, []).append(len(stack))
         stack.append(len(nodes) - 1)
-        if len(stack) > 400:  # deeper ones hang on the last level
-            stack.pop(-2)
     flush()
     return nodes
 
@@ -187,12 +206,12 @@ def vector(node: Node, letters: int, linked: int, marks: int) -> np.ndarray:
 
 
 #: Blocks that hold what their parent is about, unless their names say otherwise.
-FLOW = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th caption figure figcaption".split())
+FLOW = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption details summary".split())
 
 
 def tie(node: Node) -> int:
-    """Which potentials tie a block to its parent: 1 for one of FLOW without names, 0 for a box."""
-    return int(node.tag in FLOW and not node.names)
+    """Which potentials tie a block to its parent: 1 for one of FLOW without names or a div with text of its own, 0 for a box."""
+    return int(not node.names and (node.tag in FLOW or node.tag == "div" and bool(node.text)))
 
 
 @dataclass
@@ -295,19 +314,39 @@ def labelled_page(rng: random.Random) -> tuple[str, set[int]]:
                 for _ in range(rng.randint(2, 4)):
                     say("li", flow(), True)
                 out.append("</ul>")
-            elif r < 0.86:
+            elif r < 0.845:
                 out.append("<blockquote>")
                 say("p", flow(), True)
                 out.append("</blockquote>")
-            elif r < 0.9:
-                out.append("<table><tr>")
-                say("td", words(1, 4), True)
-                say("td", words(1, 4), True)
-                out.append("</tr></table>")
+            elif r < 0.87:
+                around = rng.choice(["", "", "div", "figure"])
+                out.append(f"<{around}><table><tr>" if around else "<table><tr>")
+                for _ in range(rng.randint(2, 5)):
+                    say(rng.choice(["td", "td", "th"]), words(1, 4), True)
+                out.append("</tr></table>" + (f"</{around}>" if around else ""))
+            elif r < 0.89:
+                around = rng.choice(["div", "section"])
+                out.append(f"<{around}>")
+                say(rng.choice(["p", "p", "h3", "div"]), flow(), True)
+                out.append(f"</{around}>")
+            elif r < 0.91:
+                say("div", words(1, 3) if rng.random() < 0.5 else flow(), True)
+            elif r < 0.925:
+                out.append("<details>")
+                say("summary", words(1, 5), True)
+                say(rng.choice(["p", "div"]), flow(), True)
+                out.append("</details>")
             elif r < 0.94:
-                out.append("<div>")
-                say("p", flow(), True)
-                out.append("</div>")
+                out.append("<dl>")
+                say("dt", words(1, 3), True)
+                say("dd", flow(), True)
+                out.append("</dl>")
+            elif r < 0.95:
+                out.append("<figure><img>")
+                say("figcaption", words(2, 8), True)
+                out.append("</figure>")
+            elif r < 0.96:
+                say("pre", words(2, 20), True)
             else:
                 rng.choice(junk)()
         for _ in range(rng.choice([0, 0, 0, 1, 2])):  # comments, forms and the like often close an article
@@ -411,7 +450,8 @@ def main_text(page: str, tree: Tree) -> str:
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages; null html counts as empty, and repeated rows are each read."""
+    """page_id, url, text, n_chars for each row of pages; null html counts as empty, repeated rows are each read, and an empty
+    table gives an empty result. Other columns, whatever their names, are left."""
     spread = pages.sparkSession.sparkContext.broadcast(tree or train())
 
     def rows(c: dict) -> Iterator[tuple]:
