@@ -65,17 +65,20 @@ class Windows:
         return hit, found
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Items (id as text, text) in blocks of about BLOCK_WORDS words, one at a time on the driver."""
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
+    """Items (id as text, text) in blocks of about BLOCK_WORDS words, one at a time on the driver. A longer item is cut into
+    parts of BLOCK_WORDS words, each with the first words of the next, so that every window lies in one."""
     block, words = [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of().alias("text")).filter("item_id is not null")
     for item in items.toLocalIterator():
-        n = len(words_of(item.text))
-        if block and words + n > BLOCK_WORDS:
-            yield block
-            block, words = [], 0
-        block.append((item.item_id, item.text))
-        words += n
+        found = words_of(item.text)
+        for at in range(0, max(1, len(found) - (size - 1)), max(size, BLOCK_WORDS)):
+            part = found[at : at + max(size, BLOCK_WORDS) + size - 1]
+            if block and words + len(part) > BLOCK_WORDS:
+                yield block
+                block, words = [], 0
+            block.append((item.item_id, b" ".join(part).decode("utf-8", "surrogatepass")))
+            words += len(part)
     if block:
         yield block
 
@@ -107,24 +110,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
     A window is `size` consecutive words of an item, or all of a shorter one. Null texts have no words; items with a null
     id or no words have no windows; repeated items count once; repeated rows of documents are each judged. Empty tables
-    are fine on either side. The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (one text more): a
-    larger one takes further passes, never a larger task.
+    are fine on either side. The benchmark goes to the tasks in blocks of about BLOCK_WORDS words. Where there are several,
+    each takes a pass that writes what it found, without the texts, and what was found in a row is put together at the end.
     """
-    spark = docs.sparkSession
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    texts, blocks = docs, _blocks(benchmark)
-    block, number = next(blocks, []), 0
+    folder = shared_dir(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    blocks = _blocks(benchmark, size)
+    block, found = next(blocks, []), None
     while True:
         following = next(blocks, None)
-        windows = _windows(texts, block, size)
+        windows = _windows(docs, block, size)
+        if following is None and found is None:
+            return arrow_map(rows.select("doc_id", "text"), lambda c, w=windows: _judge(c, w.value), RESULT)
+        part = written(arrow_map(rows.select("row", "text"), lambda c, w=windows: _collect(c, w.value), FOUND), "found", shared_dir(docs.sparkSession))
+        found = part if found is None else found.unionByName(part)
         if following is None:
-            return arrow_map(state, lambda c, w=windows: _judge(c, w.value), RESULT)
-        state = written(arrow_map(state, lambda c, w=windows: _collect(c, w.value), STATE), f"block{number}", shared_dir(spark))
-        block, number = following, number + 1
+            break
+        block = following
+    # At most one row of a document for each block.
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    size_of = written(arrow_map(rows, lambda c: [(d, r, len(words_of(t))) for d, r, t in zip(c["doc_id"], c["row"], c["text"])], "doc_id long, row long, n_words long"), "words", folder)
+    both = size_of.join(found, "row", "left").select("doc_id", "n_words", "spans", "items")
+    return arrow_map(both, _put_together, RESULT)
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-STATE = "doc_id long, text string, spans array<int>, items array<string>"
+FOUND = "row long, spans array<int>, items array<string>"
 
 
 def _windows(docs: DataFrame, block: list[tuple[str, str]], size: int):
@@ -132,27 +143,37 @@ def _windows(docs: DataFrame, block: list[tuple[str, str]], size: int):
     return docs.sparkSession.sparkContext.broadcast(Windows(block, size, shingle_counts(docs, shingles) if shingles else {}))
 
 
+def _row(doc, n_words: int, hit: bytearray, names: list[str]) -> tuple:
+    n = sum(hit)
+    return doc, n_words, n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0
+
+
 def _judge(c: dict, windows: Windows) -> Iterator[tuple]:
-    for doc, text, spans, items in zip(c["doc_id"], c["text"], c["spans"], c["items"]):
+    for doc, text in zip(c["doc_id"], c["text"]):
         words = words_of(text)
         hit, found = windows.hits(words)
-        for a, b in zip(spans[::2], spans[1::2]) if spans else ():
-            hit[a:b] = b"\1" * (b - a)
-        names = sorted({windows.items[k] for k in found}.union(items or ()))
-        n = sum(hit)
-        yield doc, len(words), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0
+        yield _row(doc, len(words), hit, sorted({windows.items[k] for k in found}))
 
 
 def _collect(c: dict, windows: Windows) -> Iterator[tuple]:
-    for doc, text, spans, items in zip(c["doc_id"], c["text"], c["spans"], c["items"]):
+    for row, text in zip(c["row"], c["text"]):
         hit, found = windows.hits(words_of(text))
-        runs = [x for m in re.finditer(rb"\x01+", bytes(hit)) for x in m.span()]
-        yield doc, text, [*(spans or ()), *runs], sorted({windows.items[k] for k in found}.union(items or ()))
+        if found:
+            yield row, [x for m in re.finditer(rb"\x01+", bytes(hit)) for x in m.span()], sorted({windows.items[k] for k in found})
+
+
+def _put_together(c: dict) -> Iterator[tuple]:
+    for doc, n, spans, items in zip(c["doc_id"], c["n_words"], c["spans"], c["items"]):
+        hit = bytearray(n)
+        for a, b in zip(spans[::2], spans[1::2]) if spans else ():
+            hit[a:b] = b"\1" * (b - a)
+        yield _row(doc, n, hit, sorted(items or ()))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs, all columns, without those that hold a window of the benchmark."""
-    blocks, kept = _blocks(benchmark), docs
+    """The rows of docs, all columns, without those that hold a window of the benchmark. Null texts hold none; an empty table on
+    either side is fine. Several blocks take a pass each, whose rest is written."""
+    blocks, kept = _blocks(benchmark, size), docs
     block = next(blocks, None)
     while block is not None:
         following = next(blocks, None)

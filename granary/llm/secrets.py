@@ -50,7 +50,8 @@ class Ledger:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
         if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return None
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("rules") == rules)
+        # Two scans at the same time may both have added a blob; its findings are the same.
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).filter(F.col("rules") == rules).dropDuplicates(["blob"])
 
     def scan(self, rows: DataFrame) -> None:
         """Scans the blobs of rows (blob, text) that these rules haven't seen yet, and appends the findings, none included."""
