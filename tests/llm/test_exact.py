@@ -44,6 +44,23 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_of_random_texts_equal_the_library(monkeypatch):
+    """Spaces of all kinds side by side, suffixes, marks, digits, other scripts, combining marks, controls; memory of few parts."""
+    from granary.llm import tokens
+
+    rng = np.random.default_rng(9)
+    bits = ["a", "Bc", "word", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x00", "\x85", "\xa0", "\u2003", "\u3000", "'s", "'LL", "'", "12", "3.5", "...", "***", "é", "İ", "ΟΔΟΣ", "σς", "e\u0301", "\u0301", "漢字", "かが", "か\u3099", "Кот", "\u2019t", "\U0001f600", "ǅ", "ﬁ", "\u212b", "½", "٣"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(1500)] + ["", " ", "x"]
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2000)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain = Tokenizer.from_file(public_tokenizers.path(name))
+        plain.encode_special_tokens = True
+        made = tokens.Encoder(public_tokenizers.path(name)).encode(texts)
+        for text, ids in zip(texts, made):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_packing(spark, docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack_documents(docs, path).collect()
@@ -138,8 +155,10 @@ def test_simhash_links_across_tiles(spark):
     prints = [int(x) for x in base] + [int(x) ^ sum(1 << int(b) for b in rng.integers(0, 64, 3)) for x in base for _ in range(5)]
     nodes = spark.createDataFrame([(k, p.to_bytes(8, "big"), 10) for k, p in enumerate(prints)], "id long, bits binary, n long")
     want = _classes(prints, lambda a, b: (a ^ b).bit_count() <= 4)
-    for cells in (simhash._cells_by_bits(nodes, 5, 4), simhash._cells_by_bits(nodes, 6, 4), simhash._cells_by_length(nodes, 0.8)):
-        links = [(r.a, r.b) for r in simhash._links(simhash._tiles(cells, 16), 4, 4).collect()]
+    whole = nodes.select(F.lit(5).cast("long").alias("cell"), "id", "bits", F.bit_count(F.conv(F.hex("bits"), 16, -10).cast("long")).alias("v"))
+    for cells in (simhash._cells_by_bits(nodes, 5, 4), simhash._cells_by_bits(nodes, 6, 4), whole):
+        tiles = simhash._tiles(cells, 16, 4, simhash.shared_dir(spark), "t").cache()
+        links = [(r.a, r.b) for r in simhash._links(tiles, 4, 4).collect()]
         up = {k: k for k in range(len(prints))}
 
         def root(x):
@@ -151,6 +170,9 @@ def test_simhash_links_across_tiles(spark):
             assert (prints[a] ^ prints[b]).bit_count() <= 4 or want[a] == want[b]
             up[max(root(a), root(b))] = min(root(a), root(b))
         assert [root(k) for k in range(len(prints))] == want
+    # Of the one large cell, tile pairs too far apart in their bit counts aren't made.
+    number = -(-len(prints) // 16)
+    assert number < tiles.select("pair").distinct().count() < 0.9 * number * (number + 1) / 2
 
 
 def test_components_of_a_long_chain(spark):
@@ -216,7 +238,7 @@ def _decontaminated(rows, items, size=10):
 def test_decontamination(spark, docs, rows, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(901, "one"), (902, None), (903, "SAME--same"), (904, "word word word"), (901, "one")], "item_id long, text string"))
     want = _decontaminated(rows, [(r.item_id, r.text) for r in bench.collect()])
-    for block in (200_000, 300):  # in one block and in several
+    for block in (200_000, 600):  # in one block and in several
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         out = decontaminate.decontaminate(docs, bench)
         assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()) == want
@@ -227,6 +249,17 @@ def test_decontamination(spark, docs, rows, monkeypatch):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_a_long_item(spark, monkeypatch):
+    """An item of more words than a block is cut into parts that share their windows' words."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    item = " ".join(f"w{k}" for k in range(100))
+    texts = [(k, " ".join(f"w{x}" for x in range(k, k + 12))) for k in range(0, 88, 4)] + [(900, "w1 w2 w3 w5"), (901, None)]
+    bench = spark.createDataFrame([(7, item), (8, "w1 w2 w3")], "item_id long, text string")
+    out = decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), bench)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect())
+    assert got == _decontaminated(texts, [(7, item), (8, "w1 w2 w3")]) and sum(r[-1] for r in got) == len(texts) - 1
+
+
 def test_token_shards(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     manifest = sstable.write_shards(docs, path)
@@ -247,6 +280,15 @@ def test_token_shards(spark, docs, rows):
         found = [x for s in shards for x in sstable.lookup(s.uri, doc)]
         assert len(found) == len(want.get(doc, []))
     assert sstable.write_shards(docs.limit(0), path).count() == 0
+    # Several shards, one hot identifier among them: the same entries, in order.
+    hot = docs.unionByName(docs.filter("doc_id = 9009").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("k"))
+    many = sstable.write_shards(hot, path, shard_rows=60)
+    assert many.count() > 5
+    read = sstable.read_shards(many, "doc_id long, start long, n long", lambda doc, start, ids: (doc, start, len(ids) // 4))
+    assert read.rdd.getNumPartitions() == many.count()
+    read = sorted(read.collect(), key=lambda r: r.start)
+    assert len(read) == hot.count() and [r.doc_id or -1 for r in read] == sorted(r.doc_id or -1 for r in read)
+    assert all(a.start + a.n == b.start for a, b in zip(read, read[1:]))
 
 
 @pytest.mark.parametrize("block, annulus, pivots", [(4096, 2048, 64), (3, 16, 5)])

@@ -49,7 +49,7 @@ def test_labels_of_held_out_rows_are_not_learned(spark, tables):
     held = ~quality.train_rows(F.col("doc_id"), 5, 0)
     turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     texts = np.array([quality.features(r.text) for r in docs.orderBy("doc_id").limit(50).collect()])
-    small = {"positives": 500, "unlabelled": 500, "scale": 200}
+    small = {"positives": 500, "unlabelled": 500}
     assert np.array_equal(quality.fit(docs, labels, **small).score(texts), quality.fit(docs, turned, **small).score(texts))
 
 
@@ -60,11 +60,27 @@ def test_class_prior_of_a_known_mixture():
     assert abs(quality.class_prior(positive, mixed) - 0.6) < 0.08
 
 
+def test_quality_scale_comes_from_the_prior():
+    """Known mixture: scores are chances, though no negative is shown; other labels 0 change nothing."""
+    rng = np.random.default_rng(1)
+    positive, other = rng.normal(1, 1, 6000), rng.normal(-1, 1, 4000)
+    web = np.concatenate([rng.normal(1, 1, 6000), other])
+    a, b = quality.calibrated(positive, web, 0.6)
+    score = lambda z: 1 / (1 + np.exp(-(a * z + b)))
+    assert abs(score(web).mean() - 0.6) < 0.01
+    for z in (-1.0, 0.0, 1.0):  # the true chance: odds of 1.5 times exp(2 z)
+        assert abs(score(z) - 1.5 * math.exp(2 * z) / (1 + 1.5 * math.exp(2 * z))) < 0.06
+
+
 def test_toxicity(spark, tables):
     docs, labels = tables
     model = toxicity.fit(docs, labels)
     accuracy, n = _accuracy(spark, toxicity.score(docs, model), labels, "toxic")
     assert n > 500 and accuracy > 0.9
+    rows = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").groupBy("predicted", "toxic").count().collect()
+    count = {(r.predicted, r.toxic): r["count"] for r in rows}
+    assert count[1, 1] / (count[1, 1] + count.get((0, 1), 0)) > 0.6  # labelled toxic and found
+    assert count[1, 1] / (count[1, 1] + count.get((1, 0), 0)) > 0.6  # found and labelled toxic
     _odd(spark, toxicity.score, model)
     one = toxicity.fit(docs, labels.filter("toxic = 0"))
     assert one.score(["any text"])[0] < 0.05
