@@ -46,7 +46,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL can express the trained and hashed stages; tests hold run() against a brute-force version.
+#: No SQL can express the trained and hashed stages; tests hold each stage against plain Python on a small table.
 ORACLE_SQL = None
 
 
