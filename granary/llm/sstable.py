@@ -26,6 +26,8 @@ from .common import arrow_schema, shared_dir, text_of, written
 from .tokens import encoder
 
 BLOCK, MAGIC, BLOOM_BITS, BLOOM_HASHES = 64 << 10, b"GRNT", 10, 7
+#: Bytes of text, and documents, that a shard holds about; its writer keeps the keys of its documents for the Bloom filter.
+SHARD_BYTES, SHARD_ROWS = 32 << 20, 250_000
 _FOOTER, _INDEX = struct.Struct("<QQQQIIIxxxx"), struct.Struct("<9sQI")
 
 
@@ -165,12 +167,18 @@ def _wide(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if width == 2 else ids
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def _width(tokens, end_id: int) -> int:
+    return 2 if tokens.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes shards in ascending doc_id order, null ones first.
 
-    Returns the manifest: shard, uri, entries, ids, first (the least doc_id). Rows with one doc_id are ordered by a hash of the
-    text, and may fill several shards; null text counts as empty. A shard gets its name only when it is whole, so a task
-    that is run again leaves one. Empty table: no shards.
+    Texts are brought into order and encoded where their shard is written, so that they cross the disk once. There are as
+    many shards as hold about `shard_bytes` of text or `shard_rows` documents each. Returns the manifest: shard, uri,
+    entries, ids, first (the least doc_id). Rows with one doc_id come in the order in which they are read, and may fill
+    several shards; null text counts as empty. A shard gets its name only when it is whole, so a task that is run again
+    leaves one. Empty table: no shards. Other columns are left.
     """
     folder = folder or shared_dir(docs.sparkSession)
     schema = "shard int, uri string, entries long, ids long, first long"
@@ -185,18 +193,17 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
 
         shard, store, writer, first = TaskContext.get().partitionId(), None, None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tokens = encoder(path)
+            for at in range(0, batch.num_rows, 2048):
+                part, tokens = batch.slice(at, 2048), encoder(path)
                 if writer is None:
-                    width = 2 if tokens.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+                    width = _width(tokens, end_id)
                     store, base = _store(folder)
                     store.create_dir(base)
                     name, draft = f"{base}/shard-{shard:06d}.sst", f"{base}/_draft-{shard:06d}-{uuid.uuid4().hex}"
                     file = store.open_output_stream(draft)
                     writer, first = Writer(file, width), part.column(0)[0].as_py()
                 end = end_id.to_bytes(width, "little")
-                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(part.column(1))):
                     writer.add(key_of(doc), _narrow(ids, width) + end)
         if writer:
             writer.end()
@@ -204,13 +211,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, folder: str | None
             store.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, f"{folder}/shard-{shard:06d}.sst", len(writer.keys), writer.ids, first), out)], schema=out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("tie"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of()).cast("long")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    shards = max(1, -(-size.bytes // shard_bytes), -(-size.n // shard_rows))
+    rows = rows.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     return written(rows.select("doc_id", "text").mapInArrow(run, schema), "manifest", folder)
 
 
 def read_shards(manifest: DataFrame, columns: str, rows) -> DataFrame:
-    """rows(doc_id, start, ids packed as u32) for each entry of the shards; start: ids of all entries before it."""
+    """rows(doc_id, start, ids packed as u32) for each entry of the shards; start: ids of all entries before it. There are as
+    many tasks as shards."""
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(columns)
@@ -233,7 +243,7 @@ def read_shards(manifest: DataFrame, columns: str, rows) -> DataFrame:
                     if made:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
-    return placed.repartition(F.col("shard")).select("uri", "start").mapInArrow(run, schema)
+    return placed.repartition(max(1, manifest.count()), "shard").select("uri", "start").mapInArrow(run, schema)
 
 
 def lookup(uri: str, doc: int | None) -> list[bytes]:
