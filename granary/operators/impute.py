@@ -69,12 +69,14 @@ def objective(t: T.DataType, distinct: int, fractions: bool) -> str:
 
 
 def modes(df: DataFrame, names: list[str]) -> dict[str, object]:
-    """The commonest known value of each column, the smallest on ties, null if there is none."""
-    out = {}
-    for n in names:
-        top = df.filter(F.col(f"`{n}`").isNotNull()).groupBy(F.col(f"`{n}`").alias("v")).count().orderBy(F.desc("count"), "v").limit(1).collect()
-        out[n] = top[0][0] if top else None
-    return out
+    """The commonest known value of each text or boolean column, the smallest on ties, null if there is none. One pass counts
+    pairs of column and value, and a minimum finds the commonest, so nothing is sorted."""
+    if not names:
+        return {}
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{n}`").cast("string").alias("v")) for k, n in enumerate(names)))
+    count = df.select(F.explode(pairs).alias("x")).select("x.*").filter("v is not null").groupBy("k", "v").count()
+    top = {r.k: r.top.v for r in count.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("top")).collect()}
+    return {n: (top[k] == "true" if isinstance(df.schema[n].dataType, T.BooleanType) else top[k]) if k in top else None for k, n in enumerate(names)}
 
 
 def constants(df: DataFrame, p: dict[str, dict]) -> dict[str, object]:

@@ -245,12 +245,12 @@ def _holes(spark, d) -> DataFrame:
     return _t(spark, d, "orders").selectExpr(*_HOLES.split(", "))
 
 
-_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, count(*) > count({c}) AND (count(DISTINCT {c}) <= 1 OR count(*) - count({c}) > count(*) // 2) AS hopeless FROM h" for c in "abde")
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, count(*) > count({c}) AND (count(DISTINCT {c}) <= 1 OR count(*) - count({c}) > count(*) // 2) AS hopeless FROM h" for c in "abcde")
 
 
 @query(f"WITH h AS (SELECT {_HOLES} FROM orders) SELECT col, nulls, CASE WHEN n_distinct <= 1000 THEN n_distinct ELSE -1 END AS n_distinct, hopeless FROM ({_PROFILE})")
 def hopeless_profile(spark, d):
-    p = impute.profile(_holes(spark, d).select("a", "b", "d", "e"))
+    p = impute.profile(_holes(spark, d).select("a", "b", "c", "d", "e"))
     return spark.createDataFrame([(c, v["nulls"], v["distinct"] if v["distinct"] <= 1000 else -1, impute.hopeless(v)) for c, v in p.items()], "col string, nulls long, n_distinct long, hopeless boolean")
 
 
@@ -280,7 +280,7 @@ def corr_topk(spark, d):
 @query()
 def impute_model(spark, d):
     rows = _holes(spark, d).selectExpr("o_orderkey", "a", "b", "d", "e", "CAST(o_orderkey % 10 AS double) AS f")
-    return impute.NaNImputer(train_sample_size=1000, trees=5, depth=3).impute(rows, key="o_orderkey")
+    return impute.NaNImputer().impute(rows, key="o_orderkey")
 
 
 # --- metrics ---------------------------------------------------------------------------------------------------------
@@ -398,5 +398,5 @@ def stack_metafeats(spark, d):
 
 @query()
 def stack_layers(spark, d):
-    s = stack.Stacker("regression", folds=2)
+    s = stack.Stacker("regression")
     return s.fit_transform(_priced(spark, d), "price", "l_orderkey")
