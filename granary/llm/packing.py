@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from .tokens import encoder
 #: Pieces that one shard holds; bounds an island's memory. The number of shards grows with the input.
 ISLAND = 65_536
 POPULATION, GENERATIONS, ISLANDS, ROUNDS = 5, 12, 3, 2
+#: Bins of a child whose documents may give way to displaced ones that fill the bin better, and displaced ones looked at.
+TRIES, DISPLACED = 128, 256
 #: Bins filled below this share are packed again with those of other shards.
 ROOMY = 0.97
 
@@ -94,6 +97,43 @@ def fitness(packing: Bins) -> tuple[int, float]:
     return -len(packing.items), sum(u * u for u in packing.used) / packing.capacity**2
 
 
+def exchange(kept: list[tuple[list[int], int]], loose: list[int], length: list[int], capacity: int, rng: random.Random) -> None:
+    """In bins at random, a document gives way to one or two displaced ones that leave less room; changes both lists. What is
+    displaced then is smaller, and fits better elsewhere."""
+    if not loose or not kept:
+        return
+    rng.shuffle(loose)
+    pool = sorted((length[i], i) for i in loose[:DISPLACED])
+    rest = loose[DISPLACED:]
+    for k in rng.sample(range(len(kept)), min(TRIES, len(kept))):
+        items, used = kept[k]
+        if used == capacity:
+            continue
+        best, gone, taken = 0, None, ()
+        for i in {length[i]: i for i in items}.values():
+            room = length[i] + capacity - used
+            high = bisect.bisect_right(pool, (room, len(length))) - 1
+            if high >= 0 and pool[high][0] - length[i] > best:
+                best, gone, taken = pool[high][0] - length[i], i, (high,)
+            low = 0
+            while low < high:
+                both = pool[low][0] + pool[high][0]
+                if both > room:
+                    high -= 1
+                    continue
+                if both - length[i] > best:
+                    best, gone, taken = both - length[i], i, (low, high)
+                low += 1
+        if gone is not None:
+            new = [pool[t][1] for t in taken]
+            for t in reversed(taken):
+                del pool[t]
+            at = items.index(gone)
+            kept[k] = [*items[:at], *items[at + 1 :], *new], used + best
+            bisect.insort(pool, (length[gone], gone))
+    loose[:] = [i for _, i in pool] + rest
+
+
 def cross(one: Bins, other: Bins, length: list[int], rng: random.Random) -> Bins:
     """Whole well-filled bins of `other` are injected into `one`; bins of `one` that hold a duplicate give way, and the
     documents they displace go by best fit."""
@@ -101,27 +141,32 @@ def cross(one: Bins, other: Bins, length: list[int], rng: random.Random) -> Bins
     at = rng.randrange(max(1, len(filled) // 2))
     injected = filled[at : at + max(1, len(filled) // 20)]
     taken = {i for k in injected for i in other.items[k]}
-    bins, displaced = Bins(one.capacity), []
-    for k in injected:
-        bins.add(other.items[k], other.used[k])
+    kept, displaced = [(other.items[k], other.used[k]) for k in injected], []
     for b, u in zip(one.items, one.used):
         if taken.isdisjoint(b):
-            bins.add(b, u)
+            kept.append((b, u))
         else:
             displaced += [i for i in b if i not in taken]
-    return decreasing(displaced, length, one.capacity, bins)
+    exchange(kept, displaced, length, one.capacity, rng)
+    return decreasing(displaced, length, one.capacity, filled_with(kept, one.capacity))
+
+
+def filled_with(kept: list[tuple[list[int], int]], capacity: int) -> Bins:
+    bins = Bins(capacity)
+    for b, u in kept:
+        bins.add(b, u)
+    return bins
 
 
 def mutate(packing: Bins, length: list[int], rng: random.Random) -> Bins:
-    """The emptiest bins and some at random are undone, and their documents go by best fit in another order."""
+    """The emptiest bins and some at random are undone; their documents change places with others and go by best fit in
+    another order."""
     few = max(1, len(packing.items) // 100)
     undone = {*sorted(range(len(packing.items)), key=packing.used.__getitem__)[:few], *rng.sample(range(len(packing.items)), few)}
-    bins, loose = Bins(packing.capacity), []
-    for k, (b, u) in enumerate(zip(packing.items, packing.used)):
-        if k in undone:
-            loose += b
-        else:
-            bins.add(b, u)
+    kept = [(b, u) for k, (b, u) in enumerate(zip(packing.items, packing.used)) if k not in undone]
+    loose = [i for k in sorted(undone) for i in packing.items[k]]
+    exchange(kept, loose, length, packing.capacity, rng)
+    bins = filled_with(kept, packing.capacity)
     for _, i in sorted((-length[i] * rng.uniform(0.8, 1.2), i) for i in loose):
         bins.best_fit(i, length[i])
     return bins
