@@ -108,13 +108,12 @@ class Lookup:
     once and joined as Spark sees fit, with skewed keys split by adaptive execution."""
 
     def __init__(self, table: DataFrame, limit: int = BROADCAST_ROWS):
-        table = written(table)
         # Text has the bytes that it has, anything else counts eight.
         width = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) for f in table.schema))
         n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
         self.small = n <= limit and size <= BROADCAST_BYTES
         self.rows = table.collect() if self.small else None
-        self.table = table.sparkSession.createDataFrame(self.rows, table.schema) if self.small else table
+        self.table = table.sparkSession.createDataFrame(self.rows, table.schema) if self.small else written(table)
 
     def join(self, df: DataFrame, on: list[str], names: dict[str, str], null_safe: bool = True) -> DataFrame:
         """df with the values under new names, null where no key matches. on: df's columns, in the order of the table's first

@@ -129,8 +129,8 @@ class FrequencyEncoder(_Encoder):
             counts = counts.unionByName(none)
         # The first category of each count keeps it: a minimum by count, so no sort of all categories. Null sorts last.
         mark = F.struct(F.col("c").isNull().cast("int").alias("late"), F.col("c").alias("c"))
-        first = written(counts.groupBy("n").agg(F.min(mark).alias("first")))
-        # Far fewer counts than categories: most categories share the smallest ones, so these rows go to every task if they may.
+        first = counts.groupBy("n").agg(F.min(mark).alias("first"))
+        # Far fewer counts than categories, most of which share the smallest ones: these rows go to every task if they may.
         first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
         repeated = ~F.col("first.c").eqNullSafe(F.col("c")) | (F.col("first.late") != F.col("c").isNull().cast("int"))
         table = counts.join(first, "n").select("c", ((F.col("n") + F.when(repeated, F.lit(0.1)).otherwise(F.lit(0.0))) / F.lit(float(total or 1))).alias("share"))
