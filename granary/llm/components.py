@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest one, then every node's smaller neighbours to the
     smallest; the number of rounds grows with the logarithm of the longest chain. Minima are aggregated before they are
-    shuffled, so a node with a third of all links is one row of each task. Each round ends in a written table. Null
+    shuffled, so for them a node with a third of all links is one row of each task; in the joins with the minima such a
+    node is a large key, which adaptive execution splits. Each round ends in a written table. Null
     nodes don't occur; loops and repeated links change nothing; an empty table has no components.
     """
     folder = shared_dir(links.sparkSession)
