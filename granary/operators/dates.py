@@ -15,7 +15,7 @@ from ..core import require_columns, require_frame, type_of
 DATE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2})?)?(?:Z|(?: ?(?:[A-Z]{1,5}(?:[+-]\d{1,2})?|[+-]\d{2}(?::?\d{2})?)))?$"
 DECIMAL = r"^\d+\.\d+$"
 FEATURES = ("year", "month", "day", "hour", "minute", "second", "weekday", "quarter", "week", "part_of_day")
-#: Orders of the date's parts, best first on ties. Two-digit and four-digit years have patterns of their own.
+#: Orders of the date's parts, best first on ties. Years have two digits or four.
 ORDERS = ("ymd", "mdy", "dmy")
 
 
@@ -23,30 +23,37 @@ def matches(c: Column) -> Column:
     return c.rlike(DATE) & ~c.rlike(DECIMAL)
 
 
-def _patterns(order: str) -> list[tuple[str, str]]:
-    """(what the date part must look like, pattern) of an order: pattern letters alone would take 25 for the year 25."""
-    parts = {"ymd": ("y", "M", "d"), "mdy": ("M", "d", "y"), "dmy": ("d", "M", "y")}[order]
-    out = []
-    for digits, year in ((r"\d{4}", "yyyy"), (r"\d{2}", "yy")):
-        out.append(("^" + "-".join(digits if p == "y" else r"\d{1,2}" for p in parts) + "( |$)", "-".join(year if p == "y" else p for p in parts)))
-    return out
+# Fixed value: a DATE whose parts can be read, which has a zone only after a time and no line end; a zone is dropped, not applied.
+PARTS = r"^(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:Z|(?: ?(?:[A-Z]{1,5}(?:[+-]\d{1,2})?|[+-]\d{2}(?::?\d{2})?)))?)?\z"
 
 
-def parsed(c: Column, order: str) -> Column:
-    """A date text as wall-clock time, null where it is none. A zone is dropped, not applied."""
-    # Zones are cut before T becomes a space, else the T of UTC would be lost.
-    clean = F.regexp_replace(F.trim(c), r"(\d:\d{1,2}(?::\d{1,2})?)(?:Z| ?[A-Z]{1,5}(?:[+-]\d{1,2})?| ?[+-]\d{2}(?::?\d{2})?)$", "$1")
-    clean = F.translate(F.regexp_replace(clean, r"(\d)T(\d)", "$1 $2"), "/.", "--")
+def parts(c: Column) -> Column:
+    """The six parts of a date text, in their order there, those of the time after a 0; null where it is none. One match for all orders."""
+    return F.when(c.rlike(PARTS), F.split(F.regexp_replace(c, PARTS, "$1-$2-$3-0$4-0$5-0$6"), "-", -1))
+
+
+def numbers(p: Column) -> list[Column]:
+    """The six parts as numbers, and how many digits the first and the third have."""
+    return [*(p[k].cast("int") for k in range(6)), F.length(p[0]), F.length(p[2])]
+
 
-    def read(x: Column) -> Column:
-        tries = []
-        for shape, day in _patterns(order):
-            for tail, time in ((r"^\S+$", ""), (r"^\S+ \d+:\d+$", " H:m"), (r"^\S+ \d+:\d+:\d+$", " H:m:s")):
-                tries.append(F.when(x.rlike(shape) & x.rlike(tail), F.try_to_timestamp(x, F.lit(day + time)).cast("timestamp_ntz")))
-        return F.coalesce(*tries)
+def timed(n: list[Column], order: str) -> Column:
+    """numbers(), read in that order, as wall-clock time; null where there is no such date. They are tested before a date is
+    made of them: a parser that fails raises an error for each value, which costs far more than reading it."""
+    year, month, day = (n[order.index(x)] for x in "ymd")
+    at = order.index("y")
+    digits, other = (n[6], n[7]) if at == 0 else (n[7], n[6])
+    year = F.when(digits == 2, year + 2000).otherwise(year)
+    hour, minute, second = n[3:6]
+    short = (month == 2) & (day > 28) & ~((day == 29) & (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)))
+    good = digits.isin(2, 4) & (other <= 2) & month.between(1, 12) & day.between(1, 31) & ~(month.isin(4, 6, 9, 11) & (day == 31)) & ~short & (hour <= 23) & (minute <= 59) & (second <= 59)
+    return F.when(good, F.make_timestamp_ntz(year, month, day, hour, minute, second))
 
-    # The lambda binds the cleaned text, which would else be cleaned again in every test; what is no date isn't cleaned.
-    return F.when(matches(c), F.element_at(F.transform(F.array(clean), read), 1))
+
+def parsed(c: Column, order: str) -> Column:
+    """A date text as wall-clock time, null where it is none."""
+    # The lambda binds the parts, which would else be found again for each use.
+    return F.element_at(F.transform(F.array(parts(c)), lambda p: timed(numbers(p), order)), 1)
 
 
 def part_of_day(hour: Column, strict: bool = False) -> Column:
@@ -87,25 +94,31 @@ class Found:
 def detect(df: DataFrame, names: list[str], error_tolerance: float = 0.1) -> dict[str, Found]:
     """For each text column how much of it looks like dates, the order of parts that reads most values, and whether it holds
     more than one date. One pass for all columns."""
-    staged, aggs = [], []
-    for k, n in enumerate(names):
-        c = F.col(f"`{n}`")
-        staged += [c.alias(f"c{k}"), matches(c).cast("int").alias(f"y{k}"), *(parsed(c, o).alias(f"{o}{k}") for o in ORDERS)]
-        aggs += [F.count(f"c{k}").alias(f"n{k}"), F.sum(f"y{k}").alias(f"m{k}")]
-        for o in ORDERS:
-            aggs += [F.count(f"{o}{k}").alias(f"{o}{k}"), (F.min(f"{o}{k}") != F.max(f"{o}{k}")).alias(f"{o}d{k}")]
-    # Values are read once, in a projection below the aggregation.
-    row = df.select(*staged).agg(*aggs).first() if names else None
+    if not names:
+        return {}
+    # A row for each value, so that the code that reads it is made once and not for every column: Java doesn't compile long
+    # methods. What several expressions use has a projection of its own.
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"`{n}`").alias("v")) for k, n in enumerate(names)))).alias("x")).select("x.k", "x.v").filter("v is not null")
+    staged = values.select("k", matches(F.col("v")).cast("int").alias("y"), parts(F.col("v")).alias("p"))
+    staged = staged.select("k", "y", *(c.alias(f"n{j}") for j, c in enumerate(numbers(F.col("p")))))
+    read = staged.select("k", "y", *(timed([F.col(f"n{j}") for j in range(8)], o).alias(o) for o in ORDERS))
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("m"), *(F.count(o).alias(o) for o in ORDERS), *((F.min(o) != F.max(o)).alias(f"{o}_differ") for o in ORDERS)]
+    rows = {r.k: r for r in read.groupBy("k").agg(*aggs).collect()}
     out = {}
     for k, n in enumerate(names):
-        best = max(ORDERS, key=lambda o: row[f"{o}{k}"])
-        out[n] = Found(row[f"n{k}"], (row[f"m{k}"] or 0) / row[f"n{k}"] if row[f"n{k}"] else 0.0, best, bool(row[f"{best}d{k}"]))
+        row = rows.get(k)
+        best = max(ORDERS, key=lambda o: row[o] if row else 0)
+        out[n] = Found(row.n, row.m / row.n, best, bool(row[f"{best}_differ"])) if row else Found(0, 0.0, best, False)
     return out
 
 
+def dated(found: dict[str, Found], error_tolerance: float = 0.1) -> list[str]:
+    """The columns that what detect() found makes dates."""
+    return [n for n, f in found.items() if f.known and f.share >= 1 - error_tolerance and f.distinct]
+
+
 def find_datetime_cols(df: DataFrame, error_tolerance: float = 0.1) -> list[str]:
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return [n for n, f in detect(df, texts, error_tolerance).items() if f.known and f.share >= 1 - error_tolerance and f.distinct]
+    return dated(detect(df, [f.name for f in df.schema if isinstance(f.dataType, T.StringType)], error_tolerance), error_tolerance)
 
 
 def infer_dayfirst(df: DataFrame, name: str) -> bool:
@@ -131,7 +144,7 @@ class DateParser:
         require_frame(df)
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
         found = detect(df, texts, error_tolerance)
-        self.orders = {n: f.order for n, f in found.items() if f.known and f.share >= 1 - error_tolerance and f.distinct}
+        self.orders = {n: found[n].order for n in dated(found, error_tolerance)}
         if self.include:
             self.orders |= {n: "" for n in df.columns if is_any_datetime(df, n)}
         self.kept = self._varying(df, list(self.orders))

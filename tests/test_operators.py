@@ -338,3 +338,21 @@ def test_entry_without_the_training_data_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'frequency_event_type' in e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
+
+
+def test_dates_are_read_without_a_failing_parser(spark, monkeypatch):
+    """One pass for all columns; a value that is no date in some order isn't given to a parser, which would raise an error for it."""
+    from granary.plans import catalog
+
+    texts = ["2024-02-29", "29/02/2000 23:59", "29.02.1900", "31-04-2023", "12/31/99T1:2:3Z", "2023-01-25 10:00 +02:00", "2023-01-25 24:00", "2020-01-01\n", "0000-01-01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    read = df.select("t", *(dates.parsed(F.col("t"), o).cast("string").alias(o) for o in dates.ORDERS))
+    assert "gettimestamp" not in read._jdf.queryExecution().toString().lower()
+    found = {r.t: (r.ymd, r.mdy, r.dmy) for r in read.collect()}
+    assert [found[t] for t in texts] == [
+        ("2024-02-29 00:00:00", None, None), (None, None, "2000-02-29 23:59:00"), (None, None, None), (None, None, None), (None, "2099-12-31 01:02:03", None),
+        ("2023-01-25 10:00:00", None, None), (None, None, None), (None, None, None), ("0000-01-01 00:00:00", None, None),
+    ]
+    calls, detect = [], dates.detect
+    monkeypatch.setattr(dates, "detect", lambda *a: calls.append(1) or detect(*a))
+    assert catalog.date_detect(spark, "/root/testdata/sf0.001").count() == 6 and len(calls) == 1
