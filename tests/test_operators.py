@@ -356,3 +356,20 @@ def test_dates_are_read_without_a_failing_parser(spark, monkeypatch):
     calls, detect = [], dates.detect
     monkeypatch.setattr(dates, "detect", lambda *a: calls.append(1) or detect(*a))
     assert catalog.date_detect(spark, "/root/testdata/sf0.001").count() == 6 and len(calls) == 1
+
+
+def test_tuner_trains_on_even_tasks(spark, monkeypatch):
+    """Training rows in one file with one row group are dealt to several tasks, none of which has most of them."""
+    df = spark.range(40_000).coalesce(1).selectExpr("id", "double(id % 97) AS a", "double(id % 89) AS b", "double(id % 97 + id % 7) AS t")
+    seen, estimator = [], tuner.BoostingTuner._estimator
+
+    def watched(self, p, trees):
+        e = estimator(self, p, trees)
+        fit = e.fit
+        e.fit = lambda d: seen.append([r[1] for r in d.groupBy(F.spark_partition_id()).count().collect()]) or fit(d)
+        return e
+
+    monkeypatch.setattr(tuner.BoostingTuner, "_estimator", watched)
+    t = tuner.BoostingTuner("rmse", trials=1, max_iterations=1, verbosity=0, custom_lgbm_params={"max_depth": 2}).fit(df, "t", "id")
+    assert t.fitted_model and len(seen) == 2 and all(len(x) == 4 and max(x) < 0.3 * sum(x) for x in seen)
+    assert sum(seen[1]) == 40_000
