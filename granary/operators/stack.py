@@ -13,7 +13,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import hash_fold, order_key, require_columns, written
+from ..core import hash_fold, order_key, require_columns, spread, written
 
 
 def meta_features(df: DataFrame, names: list[str]) -> DataFrame:
@@ -84,8 +84,10 @@ class Stacker:
         rows, key_ = order_key(df, key)
         self.features = [c for c in df.columns if c not in (target, key)]
         data = written(rows.select(F.col(key_).alias("k"), *self.features, F.col(target).cast("double").alias("y"), hash_fold(key_, self.folds, self.seed).alias("fold")))
-        names, self.models, all_made = self.features, [], []
+        names, self.models, all_made, n = self.features, [], [], data.count()
         for number, layer in enumerate(self.layers):
+            # Every fit of the layer reads these rows several times.
+            data = held = spread(data, "k", n).persist()
             ready = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep").transform(data)
             made, fitted = [], []
             for m, estimator in enumerate(layer):
@@ -104,6 +106,7 @@ class Stacker:
                 before, data = data.columns, self._metas(data, made, number)
                 new += [c for c in data.columns if c not in before]
             data = written(data)
+            held.unpersist()
             all_made.append(new)
             self.models.append((names, fitted, made))
             names = [*(self.features if self.include_x else []), *(all_made[-1] if self.depth < 3 else [c for x in all_made for c in x])]

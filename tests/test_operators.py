@@ -373,3 +373,19 @@ def test_tuner_trains_on_even_tasks(spark, monkeypatch):
     t = tuner.BoostingTuner("rmse", trials=1, max_iterations=1, verbosity=0, custom_lgbm_params={"max_depth": 2}).fit(df, "t", "id")
     assert t.fitted_model and len(seen) == 2 and all(len(x) == 4 and max(x) < 0.3 * sum(x) for x in seen)
     assert sum(seen[1]) == 40_000
+
+
+def test_stacker_trains_on_even_tasks(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    seen = []
+
+    class Watched(LinearRegression):
+        def _fit(self, dataset):
+            seen.append([r[1] for r in dataset.groupBy(F.spark_partition_id()).count().collect()])
+            return super()._fit(dataset)
+
+    df = spark.range(40_000).coalesce(1).selectExpr("id", "double(id % 97) AS a", "double(id % 97 + id % 7) AS t")
+    out = Stacker("regression", layers=[[Watched(featuresCol="x", labelCol="y", predictionCol="p")]], folds=2).fit_transform(df, "t", "id")
+    assert out.filter("layer0_0 is not null").count() == 40_000
+    assert len(seen) == 2 and all(len(x) == 4 and max(x) < 0.3 * sum(x) for x in seen)
