@@ -61,6 +61,40 @@ def test_tokens_of_random_texts_equal_the_library(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tokens_of_all_scripts_equal_the_library():
+    """A seventh of all characters, letters that only some versions of Unicode know among them."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7] + [0x1C89, 0xA7CB, 0xA7DA, 0x105C0]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        plain = Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        for at in range(0, len(points), 20_000):
+            texts = [f"a{chr(c)}1{chr(c)}'s {chr(c)}" for c in points[at : at + 20_000]]
+            want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+            assert encoder(path).encode(texts) == want
+
+
+def test_tokens_take_far_less_time_than_the_library():
+    """CPU time of encoding texts of many rare words, as a part of the library's own on the same texts (0.25 measured, 0.48 with parts as Python objects)."""
+    import time
+
+    import pyarrow.parquet as pq
+
+    from granary.llm import tokens
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:4000]]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, ours = Tokenizer.from_file(path), tokens.Encoder(path)
+    plain.encode_special_tokens = True
+    spent = []
+    for encode in (ours.encode, lambda x: plain.encode_batch_fast(x, add_special_tokens=False)):
+        start = time.process_time()
+        made = encode(texts)
+        spent.append(time.process_time() - start)
+    assert spent[0] < 0.38 * spent[1] and len(made) == len(texts)
+    assert 0 < len(ours.parts) <= tokens.CACHE and ours.parts.nbytes + ours.packed.nbytes <= tokens.CACHE_BYTES
+
+
 def test_packing(spark, docs, rows):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = packing.pack_documents(docs, path).collect()
