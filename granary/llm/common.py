@@ -45,6 +45,21 @@ def written(df: DataFrame, name: str = "table", folder: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a file takes, where the cores all get some.
+FILE_BYTES = 8 << 20
+
+
+def gathered(df: DataFrame, size: int | None) -> DataFrame:
+    """df, of about so many bytes, in as many partitions as it fills and at least two for each core, if it has more;
+    unchanged if the size isn't known.
+
+    Each file costs more than its rows if they are few: on file systems that call a program to set its mode (Hadoop's local
+    one does, twice a file), that process has the executor's whole memory again until it has started. Partitions meet in the
+    task that writes them, without another shuffle, so what comes before that in the same stage is done by as few tasks.
+    """
+    return df if size is None else df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
+
+
 def arrow_map(df: DataFrame, rows: Callable[[dict], Iterator[tuple] | list[tuple]], schema: str, size: int = SLICE) -> DataFrame:
     """mapInArrow whose function gets a dict of column lists for at most `size` rows and returns output rows."""
     from pyspark.sql.types import StructType

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, shared_dir, text_of, written
+from .common import arrow_schema, gathered, shared_dir, text_of, written
 from .components import components
 from .tokens import forget
 
@@ -24,6 +24,8 @@ SETS = 512
 MINIMA = 8
 #: Rows of a table that is broadcast; larger ones are joined.
 BROADCAST_ROWS = 100_000
+#: Bytes of a row of figures about a document, and of each 64-bit word that goes with it.
+ROW, WORD = 64, 8
 #: Sides of the blocks within which one tile pair is compared at a time; a block's differences stay in a core's cache.
 BLOCK = 256
 
@@ -242,15 +244,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _tiles(cells: DataFrame, tile: int, reach: int, folder: str, name: str) -> DataFrame:
-    """Rows (pair, side, id, bits) from rows (cell, id, bits, v): each tile pair that is to be compared gets the rows of both.
+def _tiles(cells: DataFrame, tile: int, reach: int, folder: str, name: str, size_of: int | None = None) -> DataFrame:
+    """Rows (pair, side, id, bits) from rows (cell, id, bits, v), of about `size_of` bytes: each tile pair that is to be compared
+    gets the rows of both.
 
     A cell of up to `tile` rows is one tile; a row alone in its cell goes. The rows of a larger cell are ordered by v and cut
     into tiles, and only tile pairs whose ranges of v lie within `reach` of each other are made. A tile that meets itself has
     side 0 only.
     """
     size = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
-    own = written(cells.join(size, "cell"), f"{name}-cells", folder)
+    own = written(gathered(cells.join(size, "cell"), size_of), f"{name}-cells", folder)
     one = own.filter(F.col("total") <= tile).select(F.col("cell").alias("pair"), F.lit(0).alias("side"), "id", "bits")
     large = own.filter(F.col("total") > tile)
     if large.isEmpty():
@@ -258,12 +261,12 @@ def _tiles(cells: DataFrame, tile: int, reach: int, folder: str, name: str) -> D
     # A row for each cell and v, so a cell's window is as long as v has values.
     span = Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     runs = large.groupBy("cell", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(span), F.lit(0)))
-    runs = written(runs, f"{name}-runs", folder)
+    runs = written(gathered(runs, size_of), f"{name}-runs", folder)
     ranges = runs.select("cell", "v", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.col("n") - 1) / tile))).alias("t"))
     ranges = ranges.groupBy("cell", "t").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     other = ranges.select(F.col("cell").alias("c"), F.col("t").alias("u"), F.col("low").alias("low_u"))
     pairs = ranges.join(other, (F.col("cell") == F.col("c")) & (F.col("t") <= F.col("u")) & (F.col("low_u") - F.col("high") <= reach)).select("cell", "t", "u", F.xxhash64("cell", "t", "u").alias("pair"))
-    pairs = written(pairs, f"{name}-pairs", folder)
+    pairs = written(gathered(pairs, size_of), f"{name}-pairs", folder)
     sides = pairs.select("cell", "t", "pair", F.lit(0).alias("side")).unionByName(pairs.filter("t < u").select("cell", F.col("u").alias("t"), "pair", F.lit(1).alias("side")))
     place = F.floor((F.col("start") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("n"))) / tile)
     placed = large.join(_small(runs), ["cell", "v"]).select("cell", place.alias("t"), "id", "bits")
@@ -363,33 +366,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int
     marks = written(fingerprints(docs, words, lanes, distinct=exact), "marks", folder)
     keys = ["mark"] if exact else ["bits"]
     more = [F.first(c).alias(c) for c in ("bits", "n", "least") if exact]
-    nodes = written(marks.groupBy(*keys).agg(F.min("doc_id").alias("id"), *more).filter("id is not null"), "nodes", folder)
+    row = ROW + WORD * (lanes + MINIMA * exact)
+    rows = marks.count()
+    nodes = written(gathered(marks.groupBy(*keys).agg(F.min("doc_id").alias("id"), *more).filter("id is not null"), row * rows), "nodes", folder)
     number = nodes.count()
     tile = tile or min(TILE[1], max(TILE[0], int(8 * math.sqrt(number))))
     cells = _cells_by_minima(nodes, similarity) if exact else _cells_by_bits(nodes, blocks_for(number, radius), radius)
-    tiles = _tiles(cells, tile, _size(similarity)[1] if exact else radius, folder, "near")
-    links = written(_links(tiles, radius, 3), "found", folder)
-    found = written(components(links), "components", folder)
+    many = number * (MINIMA if exact else math.comb(blocks_for(number, radius), radius))
+    tiles = _tiles(cells, tile, _size(similarity)[1] if exact else radius, folder, "near", (ROW + WORD * lanes) * many)
+    found = components(_links(tiles, radius, 3), most=many)
     if exact:
-        links = written(_confirmed(docs, nodes, found, words, lanes, radius, similarity), "confirmed", folder)
-        found = written(components(links), "settled", folder)
+        found = components(_confirmed(docs, nodes, found, words, lanes, radius, similarity), most=number)
     found = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
-    return marks.join(found, keys, "left").select("doc_id", "bits", "n", "component")
+    return gathered(marks.join(found, keys, "left").select("doc_id", "bits", "n", "component"), row * rows)
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, proposed: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
     """Links (a, b) within the proposed components whose shingle sets are alike in `similarity`; sets are built anew, for the
     components' rows alone."""
     folder = shared_dir(docs.sparkSession)
-    members = written(nodes.join(proposed.withColumnRenamed("node", "id"), "id").select("id", "n", "mark", "component"), "members", folder)
+    members = nodes.join(proposed.withColumnRenamed("node", "id"), "id").select("id", "n", "mark", "component")
+    members = written(gathered(members, ROW * nodes.count()), "members", folder)
     ids = members.select("id").distinct()
-    ids = F.broadcast(ids) if members.count() <= BROADCAST_ROWS else ids
+    number, hashes = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ids = F.broadcast(ids) if number <= BROADCAST_ROWS else ids
+    size = ROW * number + WORD * (lanes * number + hashes)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = fingerprints(own, words, lanes, distinct=True, sets=True).select(F.col("doc_id").alias("id"), "mark", "bits")
-    sets = written(sets.join(members, ["id", "mark"]).dropDuplicates(["id", "mark"]), "sets", folder)
+    sets = written(gathered(sets.join(members, ["id", "mark"]).dropDuplicates(["id", "mark"]), size), "sets", folder)
     v, reach = _size(similarity)
     cells = sets.select(F.col("component").alias("cell"), "id", "bits", v)
-    return _links(_tiles(cells, SETS, reach, folder, "sets"), radius, 3, lanes, similarity)
+    return _links(_tiles(cells, SETS, reach, folder, "sets", size), radius, 3, lanes, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 4) -> DataFrame:

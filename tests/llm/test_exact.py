@@ -221,6 +221,30 @@ def test_simhash_links_across_tiles(spark):
     assert number < tiles.select("pair").distinct().count() < 0.9 * number * (number + 1) / 2
 
 
+def test_simhash_writes_few_files(spark, docs, tmp_path, monkeypatch):
+    """Tables take as many files as their rows fill, however many partitions a shuffle has: each file may start a process that
+    has the executor's memory again."""
+    folder = f"file://{tmp_path}/shared"
+    for module in ("simhash", "components"):
+        monkeypatch.setattr(f"granary.llm.{module}.shared_dir", lambda spark: folder)
+    files, cores, key = lambda top: len(list(top.rglob("part-*"))), spark.sparkContext.defaultParallelism, lambda r: (r.doc_id is None, r.doc_id or 0, r.bits)
+    want = sorted(simhash.near_duplicates(docs, 4, 1, 4).collect(), key=key)
+    few = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        for similarity in (None, 0.8):
+            found = simhash.near_duplicates(docs, 4, 1, 4 if similarity is None else 30, similarity)
+            assert similarity or sorted(found.collect(), key=key) == want
+            found.write.parquet(f"{folder}/result{similarity}")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for written in (p for p in (tmp_path / "shared").iterdir() if p.is_dir() and p.name != "marks"):
+        assert files(written) <= 2 * cores, written.name
+
+
 def test_components_of_a_long_chain(spark):
     from granary.llm.components import components
 
